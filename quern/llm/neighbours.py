@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.vectors import lists, matrix, unit, usable
-from quern.scratch import cut, release
+from quern.llm.vectors import lists, matrix, unit, usable, vector_key
+from quern.scratch import cut
 
 SAMPLE = 50_000  # vectors the centroids are fitted on
 LIST_SIZE = 256  # vectors aimed at in a list
@@ -28,6 +28,7 @@ BLOCK = 4_096  # vectors of a list compared in one task
 DEGREE = 16
 BEAM = 32
 CROWD = 3
+MEMBER, PROBE = 1, 2
 
 
 @dataclass
@@ -183,17 +184,21 @@ class Index:
     dim: int
 
 
-def build_index(vectors: DataFrame, dim: int, slack: float, ratio: float, list_size: int = LIST_SIZE, sample: int = SAMPLE) -> Index:
-    """Index (id, vec) rows: fit centroids on at most ``sample`` vectors, place every vector."""
-    spark = vectors.sparkSession
-    n = vectors.count()
+def build_index(rows: DataFrame, reps: DataFrame, dim: int, slack: float, ratio: float, list_size: int = LIST_SIZE, sample: int = SAMPLE) -> Index:
+    """Index (id, vec) rows ``reps``: every one is placed; centroids are fitted on at most ``sample`` of ``rows``.
+
+    ``rows`` holds the vectors before equal ones are merged, so that no pass over the
+    merged ones has to be stored besides the placed table.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
     k = int(min(MAX_LISTS, max(1, -(-n // list_size))))
     share = min(1.0, 1.2 * sample / max(n, 1))
-    drawn = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else vectors
-    rows = drawn.select("vec").limit(sample).toArrow()
-    x = unit(matrix(rows.column("vec").combine_chunks(), dim)).astype(np.float32) if rows.num_rows else np.ones((1, dim), np.float32)
+    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    found = drawn.select("vec").limit(sample).toArrow()
+    x = unit(matrix(found.column("vec").combine_chunks(), dim)).astype(np.float32) if found.num_rows else np.ones((1, dim), np.float32)
     g = centroid_graph(balanced_centroids(x, k))
-    placed = cut(vectors.select("id", "vec").mapInArrow(placer(g, dim, slack, ratio), "id string, vec array<float>, near array<int>"), "placed")
+    placed = cut(reps.select("id", "vec").mapInArrow(placer(g, dim, slack, ratio), "id string, vec array<float>, near array<int>"), "placed")
     sizes = placed.groupBy(F.element_at("near", 1).alias("list")).count()
     many = sizes.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb")).filter("nb > 1").collect()  # at most MAX_LISTS
     blocks = spark.createDataFrame([tuple(r) for r in many], "list int, nb int")
@@ -204,10 +209,10 @@ def comparer(dim: int, least: float | None, k: int | None):
     """applyInArrow over one cell: probes against members, pairs above ``least`` or the k best."""
 
     def run(table: pa.Table) -> pa.Table:
-        probe = table.column("probe").to_numpy().astype(bool)
+        role = table.column("role").to_numpy()
         ids = table.column("id").to_pylist()
         x = matrix(table.column("vec").combine_chunks(), dim)
-        p, m = np.flatnonzero(probe), np.flatnonzero(~probe)
+        p, m = np.flatnonzero(role & PROBE), np.flatnonzero(role & MEMBER)
         left, right, cos = [], [], []
         names = np.array(ids, dtype=object)
         for s in range(0, len(p) if len(m) else 0, 1024):
@@ -232,30 +237,43 @@ def comparer(dim: int, least: float | None, k: int | None):
     return run
 
 
-def cells(index: Index, probes: DataFrame, replicate: bool) -> DataFrame:
-    """Rows (list, mb, pb, probe, id, vec): every probe meets every member block of its lists.
+def cells(index: Index, replicate: bool, asked: Column | None = None) -> DataFrame:
+    """Rows (list, mb, pb, role, id, vec): every probe meets every member block of its lists.
 
-    Members sit in their nearest list, or with ``replicate`` in each of their lists.
+    Members sit in their nearest list, or with ``replicate`` in each of their lists; all
+    rows, or those ``asked``, are probes of each. A list of one block takes a row that is
+    both only once.
     """
-    nb = F.coalesce("nb", F.lit(1))
-    lists_of = lambda df: df.withColumn("list", F.explode("near")).join(F.broadcast(index.blocks), "list", "left").withColumn("nb", nb)
-    own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    members = index.placed if replicate else index.placed.withColumn("near", F.slice("near", 1, 1))
-    m = lists_of(members).select("list", own.alias("mb"), every.alias("pb"), F.lit(0).alias("probe"), "id", "vec")
-    p = lists_of(probes).select("list", every.alias("mb"), own.alias("pb"), F.lit(1).alias("probe"), "id", "vec")
-    return m.unionByName(p)
-
+    rows = index.placed.select("id", "vec", (asked if asked is not None else F.lit(True)).alias("ask"), F.posexplode("near").alias("at", "list"))
+    rows = rows.join(F.broadcast(index.blocks), "list", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("member", F.lit(replicate) | (F.col("at") == 0))
+    every = F.sequence(F.lit(0), F.col("nb") - 1)
+    cell = lambda mb, pb, role: F.struct(mb.alias("mb"), pb.alias("pb"), role.alias("role"))
+    none = F.array().cast("array<struct<mb:int,pb:int,role:int>>")
+    zero = F.lit(0)
+    single = F.array(cell(zero, zero, F.when(F.col("member"), MEMBER).otherwise(0) + F.when(F.col("ask"), PROBE).otherwise(0)))
+    members = F.when(F.col("member"), F.transform(every, lambda b: cell(F.col("own"), b, F.lit(MEMBER)))).otherwise(none)
+    probes = F.when(F.col("ask"), F.transform(every, lambda b: cell(b, F.col("own"), F.lit(PROBE)))).otherwise(none)
+    placed = rows.select("list", "id", "vec", F.explode(F.when(F.col("nb") == 1, single).otherwise(F.concat(members, probes))).alias("c"))
+    return placed.select("list", "c.mb", "c.pb", "c.role", "id", "vec").filter("role > 0")
+
+
+def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, vec) with one row for each distinct vector, and (member, id) of the ids in company.
+
+    A class is named by its smallest id and its vector's key, as an id may have several
+    vectors. Equal vectors are merged before and in one shuffle on the vector; members
+    are found by key, without moving vectors.
+    """
+    reps = rows.groupBy("vec").agg(F.min("id").alias("first")).select(F.concat_ws("\u0000", "first", vector_key("vec")).alias("id"), "vec")
+    keyed = rows.select("id", vector_key("vec").alias("key"))
+    named = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
+    same = keyed.distinct().join(named, "key").select(F.col("id").alias("member"), F.concat_ws("\u0000", "first", "key").alias("id"))
+    return reps, cut(same, "members")
 
-def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, vec) of one id for each distinct vector, and (id, rep) of ids in company.
 
-    Equal vectors are compared once; the shuffle is on the vector itself, reduced before.
-    """
-    vectors = cut(vectors, "vectors")
-    reps = cut(vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
-    same = cut(vectors.join(reps.filter("n > 1").select("vec", F.col("id").alias("rep")), "vec").select("id", "rep").distinct(), "members")
-    return reps.select("id", "vec"), same
+def _plain(col: str) -> Column:
+    return F.substring_index(F.col(col), "\u0000", 1)
 
 
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, least: float, dim: int = 64) -> DataFrame:
@@ -268,18 +286,15 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, least: float, dim: i
     short, zero and NaN-holding vectors and null ids are left out; repeated rows count
     once; an id with several vectors is paired by any of them, with the highest cosine.
     """
-    vectors = usable(df, id_col, vec_col, dim)
-    reps, same = classes(vectors)
-    several = reps.withColumn("id", F.concat_ws("\u0000", "id", F.hex(F.xxhash64("vec"))))  # an id may name several vectors
+    rows = usable(df, id_col, vec_col, dim)
+    reps, same = classes(rows)
     r = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    index = build_index(several, dim, slack=r, ratio=0.0)
-    grid = cells(index, index.placed, replicate=False)
-    raw = grid.groupBy("list", "mb", "pb").applyInArrow(comparer(dim, least, None), "a string, b string, cosine double")
-    name = lambda c: F.substring_index(F.col(c), "\u0000", 1)
-    pairs = raw.select(name("a").alias("ra"), name("b").alias("rb"), "cosine").groupBy("ra", "rb").agg(F.max("cosine").alias("cosine"))
-    a, b = same.select(F.col("rep").alias("ra"), F.col("id").alias("ia")), same.select(F.col("rep").alias("rb"), F.col("id").alias("ib"))
-    between = pairs.join(a, "ra", "left").join(b, "rb", "left").select(F.coalesce("ia", "ra").alias("x"), F.coalesce("ib", "rb").alias("y"), "cosine")
-    within = a.join(b, F.col("ra") == F.col("rb")).select(F.col("ia").alias("x"), F.col("ib").alias("y"), F.lit(1.0).alias("cosine"))
+    index = build_index(rows, reps, dim, slack=r, ratio=0.0)
+    raw = cells(index, replicate=False).groupBy("list", "mb", "pb").applyInArrow(comparer(dim, least, None), "a string, b string, cosine double")
+    pairs = raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    x, y = same.select(F.col("id").alias("a"), F.col("member").alias("x")), same.select(F.col("id").alias("b"), F.col("member").alias("y"))
+    between = pairs.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", _plain("a")).alias("x"), F.coalesce("y", _plain("b")).alias("y"), "cosine")
+    within = x.join(y, F.col("a") == F.col("b")).select("x", "y", F.lit(1.0).alias("cosine"))
     both = between.unionByName(within).filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine")
     return both.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
 
@@ -292,21 +307,19 @@ def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dim:
     of the nearest centroid's distance. Ids of equal vectors come first, at cosine 1;
     of each class of equal vectors the k + 1 smallest ids can be named. Ties go by id.
     """
-    from pyspark.sql import Window
-
-    vectors = usable(df, id_col, vec_col, dim).groupBy("id").agg(F.min("vec").alias("vec"))
-    reps, same = classes(vectors)
-    index = build_index(reps, dim, slack=0.0, ratio=ratio)
+    rows = usable(df, id_col, vec_col, dim).groupBy("id").agg(F.min("vec").alias("vec"))
+    reps, same = classes(rows)
+    index = build_index(rows, reps, dim, slack=0.0, ratio=ratio)
     asked = lambda c: F.pmod(F.xxhash64(c), F.lit(every)) == 0
-    wanted = same.filter(asked("id"))
-    probes = index.placed.join(wanted.select(F.col("rep").alias("id")).distinct().withColumn("w", F.lit(True)), "id", "left").filter(F.col("w") | asked("id")).drop("w")
-    raw = cells(index, probes, replicate=True).groupBy("list", "mb", "pb").applyInArrow(comparer(dim, None, k), "a string, b string, cosine double").distinct()
+    wanted = same.filter(asked("member"))
+    index.placed = index.placed.join(wanted.select("id", F.lit(True).alias("w")).distinct(), "id", "left").withColumn("ask", F.coalesce("w", asked(_plain("id")))).drop("w")
+    raw = cells(index, replicate=True, asked=F.col("ask")).groupBy("list", "mb", "pb").applyInArrow(comparer(dim, None, k), "a string, b string, cosine double").distinct()
     best = lambda key: Window.partitionBy(key).orderBy(F.col("cosine").desc(), F.col("b").asc())
     top = raw.withColumn("p", F.row_number().over(best("a"))).filter(F.col("p") <= k).select("a", "b", "cosine")
-    first = same.withColumn("p", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("p") <= k + 1).select("rep", F.col("id").alias("member"))
-    around = top.join(first, F.col("b") == F.col("rep"), "left").select("a", F.coalesce("member", "b").alias("b"), "cosine")
-    own = first.select(F.col("rep").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("cosine"))
-    found = around.unionByName(own)
-    ids = wanted.unionByName(probes.select("id", F.col("id").alias("rep")).filter(asked("id"))).distinct()
-    named = ids.join(found, ids["rep"] == found["a"]).filter("id <> b").select("id", "b", "cosine")
+    first = same.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("member"))).filter(F.col("p") <= k + 1).select("id", "member")
+    around = top.join(first, F.col("b") == F.col("id"), "left").select("a", F.coalesce("member", _plain("b")).alias("b"), "cosine")
+    own = first.select(F.col("id").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("cosine"))
+    alone = index.placed.filter(asked(_plain("id"))).select(_plain("id").alias("q"), F.col("id").alias("a"))
+    ids = wanted.select(F.col("member").alias("q"), F.col("id").alias("a")).unionByName(alone).distinct()
+    named = ids.join(around.unionByName(own), "a").filter("q <> b").select(F.col("q").alias("id"), "b", "cosine")
     return named.withColumn("place", F.row_number().over(best("id"))).filter(F.col("place") <= k).select("id", F.col("b").alias("neighbour"), "cosine", "place")

@@ -15,9 +15,15 @@ def is_usable(col: Column, dim: int) -> Column:
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int, *keep: str) -> DataFrame:
-    """Distinct (id, vec, *keep) rows with a non-null id and a usable vector."""
-    cols = [F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{vec_col}`").cast("array<float>").alias("vec"), *[F.col(f"`{k}`") for k in keep]]
-    return df.select(*cols).filter(F.col("id").isNotNull() & is_usable(F.col("vec"), dim)).distinct()
+    """(id, vec, *keep) of the rows with a non-null id and a usable vector; -0.0 becomes 0.0."""
+    vec = F.transform(F.col(f"`{vec_col}`").cast("array<float>"), lambda x: x + F.lit(0.0).cast("float"))
+    cols = [F.col(f"`{id_col}`").cast("string").alias("id"), vec.alias("vec"), *[F.col(f"`{k}`") for k in keep]]
+    return df.filter(F.col(f"`{id_col}`").isNotNull() & is_usable(F.col(f"`{vec_col}`"), dim)).select(*cols)
+
+
+def vector_key(vec: str) -> Column:
+    """128 hashed bits of a vector, as text."""
+    return F.concat(F.hex(F.xxhash64(vec)), F.lit("-"), F.hex(F.xxhash64(vec, F.lit(1))))
 
 
 def matrix(lists: pa.Array, dim: int) -> np.ndarray:
