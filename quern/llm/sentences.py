@@ -115,23 +115,26 @@ def mask(df: DataFrame) -> DataFrame:
     return df
 
 
-def _line_breaks(t: Column) -> Column:
-    """Whether the text is wrapped: its single line breaks fall inside sentences.
+def line_breaks(df: DataFrame) -> DataFrame:
+    """Adds booleans some, goes_on and tight: signs that text m is wrapped, its single line breaks falling inside sentences.
 
     A line that ends without a mark before one that starts in lower case is wrapped.
     Failing that (no capitals, scripts without case), a text is wrapped if no line is
-    longer than hard wrapping allows and no next word would have fitted its line.
+    longer than hard wrapping allows and no next word would have fitted its line. Lines
+    and breaks are columns of their own, so that no lambda works them out again per line.
     """
-    lines = F.transform(F.split(t, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    spots = F.sequence(F.lit(0), F.greatest(F.size(lines) - 2, F.lit(0)))
-    breaks = F.transform(spots, lambda i: F.struct(F.get(lines, i).alias("a"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("b")))
-    breaks = F.filter(breaks, lambda x: (F.char_length(x["a"]) > 0) & (F.char_length(x["b"]) > 0))
-    loose = F.filter(breaks, lambda x: ~x["a"].rlike(rf"(?U)[{_ENDS}][\p{{Pe}}\p{{Pf}}\p{{Pi}}\"'’]*$"))
+    t = F.col("m")
+    broken = t.rlike(r"[\r\n]\s*\S")  # the lines of other texts are not looked at
+    df = df.withColumn("lines", F.when(broken, F.transform(F.split(t, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))))
+    pairs = F.zip_with(F.slice("lines", 1, F.size("lines") - 1), F.slice("lines", 2, F.size("lines")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    df = df.withColumn("breaks", F.filter(pairs, lambda x: (F.char_length(x["a"]) > 0) & (F.char_length(x["b"]) > 0)))
+    df = df.withColumn("loose", F.filter("breaks", lambda x: ~x["a"].rlike(rf"(?U)[{_ENDS}][\p{{Pe}}\p{{Pf}}\p{{Pi}}\"'’]*$")))
     fits = lambda x: F.char_length(x["a"]) + 1 + F.char_length(F.regexp_extract(x["b"], r"(?U)^\S+", 0)) <= 57
-    tight = (F.array_max(F.transform(lines, lambda x: F.char_length(x))) <= 66) & ~F.exists(breaks, fits)
-    goes_on = F.exists(loose, lambda x: x["b"].rlike(r"^[\p{Ll},;:!?)»]"))
-    spaced = ~t.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{4}")
-    return (F.size(loose) > 0) & spaced, goes_on, tight
+    tight = (F.array_max(F.transform("lines", lambda x: F.char_length(x))) <= 66) & ~F.exists("breaks", fits)
+    goes_on = F.exists("loose", lambda x: x["b"].rlike(r"^[\p{Ll},;:!?)»]"))
+    some = (F.size("loose") > 0) & ~t.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{4}")
+    said = {k: F.coalesce(v, F.lit(False)) for k, v in {"some": some, "goes_on": goes_on, "tight": tight}.items()}
+    return df.withColumns(said).drop("lines", "breaks", "loose")
 
 
 def split_points(df: DataFrame) -> DataFrame:
@@ -139,8 +142,8 @@ def split_points(df: DataFrame) -> DataFrame:
     df = df.withColumn("m", F.translate("t", _PRIVATE, "�" * len(_PRIVATE)))
     t = F.col("m")
     n = lambda p: F.regexp_count(t, F.lit(p))
-    some, goes_on, tight = _line_breaks(t)
-    df = df.withColumns({"letters": n(r"\p{L}"), "cased": n(r"[\p{Lu}\p{Ll}]"), "uppers": n(r"\p{Lu}"), "after_low": n(r"[.!?]\s+\p{Ll}"), "after_up": n(r"[.!?]\s+\p{Lu}"), "some": some, "goes_on": goes_on, "tight": tight})
+    df = line_breaks(df)
+    df = df.withColumns({"letters": n(r"\p{L}"), "cased": n(r"[\p{Lu}\p{Ll}]"), "uppers": n(r"\p{Lu}"), "after_low": n(r"[.!?]\s+\p{Ll}"), "after_up": n(r"[.!?]\s+\p{Lu}")})
     df = df.withColumn("bicameral", F.col("cased") * 2 > F.col("letters"))
     df = df.withColumn("lower", F.col("bicameral") & ((F.col("uppers") == 0) | ((F.col("after_low") > F.col("after_up")) & (F.col("uppers") * 60 < F.col("cased")))))
     df = df.withColumn("plain", F.col("bicameral") & ~F.col("lower"))
