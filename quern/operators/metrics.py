@@ -25,7 +25,7 @@ def user_metrics(test: DataFrame, recs: DataFrame, n_items: int, k: int = 10) ->
     w = Window.partitionBy("dataset", "userid").orderBy(F.col("rank").asc_nulls_last(), F.col("itemid").asc())
     hits = hits.withColumn("i", F.row_number().over(w) - 1).withColumn("n_hit", F.count("rank").over(Window.partitionBy("dataset", "userid")))
     r, top = F.col("rank"), F.col("rank") < k
-    area = 1 - F.greatest(F.lit(0), r - F.col("i")) / F.nullif(F.lit(n_items) - F.col("n_hit"), F.lit(0))
+    area = F.when(r.isNotNull(), 1 - F.greatest(F.lit(0), r - F.col("i")) / F.nullif(F.lit(n_items) - F.col("n_hit"), F.lit(0)))  # hits only
     g = hits.groupBy("dataset", "userid").agg(
         F.count("*").alias("pos"),
         F.avg(area.cast("double")).alias("auc"),

@@ -258,7 +258,7 @@ _EVAL = f"""with {_SPLIT}, {_PAIRS.format(value="count(*)", having="")}, {_L1},
 h0 as (select t.userid, t.itemid, r.rank from test t left join recs r using (userid, itemid)),
 h as (select *, row_number() over (partition by userid order by rank nulls last, itemid) - 1 i, count(rank) over (partition by userid) nh from h0),
 ni as (select count(distinct itemid) c from obs),
-g as (select userid, count(*) pos, coalesce(avg(1 - greatest(0, rank - i) / nullif(c - nh, 0)), 0.5) auc, coalesce(max(1.0 / (rank + 1)), 0) reciprocal,
+g as (select userid, count(*) pos, coalesce(avg(case when rank is not null then 1 - greatest(0, rank - i) / nullif(c - nh, 0) end), 0.5) auc, coalesce(max(1.0 / (rank + 1)), 0) reciprocal,
   coalesce(sum(case when rank < 5 then 1.0::double / (rank + 1) end), 0) rrk, coalesce(sum(1.0::double / (rank + 1)), 0) rr, coalesce(sum(case when rank < 5 then 1 / log2(rank + 2) end), 0) dcg, count(*) filter (rank < 5) hit from h, ni group by userid),
 m as (select userid, auc, reciprocal, rrk / {{h1}} n_mrr_at_k, rr / {{h2}} n_mrr, dcg / (select sum(1 / log2(j + 2)) from range(0, least(5, pos)) t(j)) n_dcg_at_k, hit / least(5, pos) n_precision_at_k, hit / 5.0::double precision_at_k,
   hit / pos recall_at_k, hit / least(5, pos) n_recall_at_k from g)"""
