@@ -75,8 +75,7 @@ def in_square(lat: Column, long: Column, centre: tuple[float, float], side: floa
 
 def clean_places(df: DataFrame) -> DataFrame:
     """lat and long as doubles; rows without a readable lat or long go."""
-    d = lambda c: F.try_cast(F.col(c), "double") if hasattr(F, "try_cast") else F.expr(f"try_cast(`{c}` as double)")
-    out = df.withColumn("lat", d("lat")).withColumn("long", d("long"))
+    out = df.withColumns({c: F.col(c).try_cast("double") for c in ("lat", "long")})
     return out.filter("lat is not null and long is not null and not isnan(lat) and not isnan(long)")
 
 

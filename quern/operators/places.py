@@ -27,7 +27,7 @@ BROADCAST_BYTES = 32 << 20
 
 def usable_places(df: DataFrame, id_col: str, lat: str = "lat", long: str = "long") -> DataFrame:
     """Distinct (id, lat, long) with a non-null id, coordinates in range, not null, NaN or both zero."""
-    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{lat}`").cast("double").alias("lat"), F.col(f"`{long}`").cast("double").alias("long"))
+    rows = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{lat}`").try_cast("double").alias("lat"), F.col(f"`{long}`").try_cast("double").alias("long"))
     inside = (F.abs("lat") <= 90) & (F.abs("long") <= 180) & ~((F.col("lat") == 0) & (F.col("long") == 0))
     return rows.filter(F.col("id").isNotNull() & F.coalesce(inside & ~F.isnan("lat") & ~F.isnan("long"), F.lit(False))).distinct()
 
