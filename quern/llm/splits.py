@@ -103,12 +103,12 @@ def person_keys(userids: DataFrame, users: DataFrame) -> DataFrame:
     told = ids.withColumn("t", text).select(
         "userid",
         F.substring(F.concat(part(1), part(4)), 1, 1).alias("gender"),
-        F.concat(part(2), part(3)).cast("int").alias("age"),
+        F.concat(part(2), part(3)).try_cast("int").alias("age"),
         part(5).alias("occ"),
         F.lpad(F.replace(part(6), F.lit(" "), F.lit("")), 7, "0").alias("zip"),
     )
     names = users.filter("occupation is not null and occupation_name is not null").select(folded("occupation_name").alias("occ"), F.col("occupation").cast("string").alias("code")).groupBy("occ").agg(F.min("code").alias("code"))
-    code = F.when(F.col("occ").rlike(r"^\d+$"), F.col("occ").cast("int").cast("string")).otherwise(F.coalesce("code", "occ"))
+    code = F.when(F.col("occ").rlike(r"^\d+$"), F.coalesce(F.col("occ").try_cast("int").cast("string"), "occ")).otherwise(F.coalesce("code", "occ"))
     person = F.when(F.col("gender") != "", F.concat_ws("|", "gender", F.col("age").cast("string"), code, "zip"))
     return told.join(names, "occ", "left").select("userid", person.alias("person"))
 
