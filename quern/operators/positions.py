@@ -33,7 +33,7 @@ def _differs(now: pa.Array, before: pa.Array) -> np.ndarray:
     return neq.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _numberer(n_groups: int, weight: int | None, keep: int | None, schema: pa.Schema):
+def _numberer(n_groups: int, weight: int | None, keep: int | None):
     """mapInArrow function over sorted partitions; see :func:`with_positions`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,6 +42,8 @@ def _numberer(n_groups: int, weight: int | None, keep: int | None, schema: pa.Sc
         total = 0  # of that group so far
         head: list[pa.Array] | None = None
         head_total, in_head = 0, True
+        schema: pa.Schema | None = None  # of the batches, whatever their time zone, and our columns
+        own = [(_PART, pa.int32()), (_KIND, pa.int8()), (_HEAD, pa.bool_()), (_POS, pa.int64())]
 
         def trailer(group: list[pa.Array], kind: int, amount: int) -> pa.RecordBatch:
             cols = [group[i] if i < n_groups else pa.nulls(1, schema.field(i).type) for i in range(len(schema) - 4)]
@@ -52,6 +54,8 @@ def _numberer(n_groups: int, weight: int | None, keep: int | None, schema: pa.Sc
             n = batch.num_rows
             if n == 0:
                 continue
+            if schema is None:
+                schema = pa.schema([*[pa.field(f.name, f.type) for f in batch.schema], *[pa.field(*f) for f in own]])
             start = np.zeros(n, dtype=bool)
             for i in range(n_groups):
                 col = batch.column(i)
@@ -125,11 +129,8 @@ def with_positions(
     ranged = df.repartitionByRange(count, *order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in cols])
     extra = [T.StructField(_PART, T.IntegerType()), T.StructField(_KIND, T.ByteType()), T.StructField(_HEAD, T.BooleanType()), T.StructField(_POS, T.LongType())]
     fields = [T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields] + extra
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(T.StructType(fields), timestamp_utc=True)
     where = cols.index(weight) if weight else None
-    numbered = cut(ranged.mapInArrow(_numberer(len(groups), where, keep, arrow), T.StructType(fields)), "positions")
+    numbered = cut(ranged.mapInArrow(_numberer(len(groups), where, keep), T.StructType(fields)), "positions")
 
     ends = numbered.filter(f"{_KIND} > 0").select(_PART, _KIND, _POS, *key_cols).collect()  # two rows a partition
     by_part: dict[int, dict[int, tuple]] = {}

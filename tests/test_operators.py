@@ -160,3 +160,14 @@ def test_search_and_early_stop():
     assert best == 30 and trail[-1][0] <= 100
     report = mo.random_search({"a": [1, 2, 3]}, lambda t: 1 / t["a"], 10)
     assert report.target_loss.iloc[0] == report.target_loss.min() and "time_taken" in report
+
+
+def test_positions_carry_timestamps_in_any_zone(spark):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.sql("select timestamp'2020-01-01 00:00:00' t, 1 k union all select timestamp'2021-01-01 00:00:00', 2")
+        got = [(r.k, str(r.t), r.p) for r in with_positions(df, [], [F.col("t").desc()], out="p").orderBy("p").selectExpr("k", "cast(t as string) t", "p").collect()]
+        assert got == [(2, "2021-01-01 00:00:00", 1), (1, "2020-01-01 00:00:00", 2)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
