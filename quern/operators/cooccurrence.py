@@ -126,15 +126,13 @@ def _best(totals: np.ndarray, names: np.ndarray, n: int, digits: int):
     return run
 
 
-def top_cooccurring(obs: DataFrame, n: int, on: str = "userid", of: str = "itemid", digits: int = 9, max_list: int | None = None) -> DataFrame:
-    """(itemid_source, itemid, prediction): the n most similar by symmetrised row-normalised counts.
+def coded_pairs(obs: DataFrame, on: str = "userid", of: str = "itemid", max_list: int | None = None, per: int = FLUSH):
+    """The pairs of ``of`` within ``on`` as packed integers: (placed, names, totals, lists, found, buckets).
 
-    With binary weights a row's total is the sum of its lists' lengths less one, so the
-    score is n_ab / t_a + n_ab / t_b and needs no second pass over the pairs. Pairs are
-    netted and ranked on packed integers in numpy, a few bytes each on the wire, which is
-    several times faster than exploding them as rows. The vocabulary and totals go to
-    the tasks only while they stay under 64 MB; a larger one takes the relational plan.
-    Lists longer than ``max_list`` are left out if it is given.
+    ``placed`` is the vocabulary (i, t, p), ``names`` and ``totals`` the same by code, ``lists`` (k, codes),
+    ``found`` (bucket, keys, counts) with every ordered pair in the bucket of its first code,
+    about ``per`` pairs a bucket. None where the
+    vocabulary is over ``BROADCAST_BYTES``.
     """
     from quern.operators.positions import with_positions
 
@@ -146,14 +144,33 @@ def top_cooccurring(obs: DataFrame, n: int, on: str = "userid", of: str = "itemi
     placed = cut(with_positions(items, [], [F.col("i").asc()], out="p"), "vocabulary")
     small = (placed.agg(F.sum(F.octet_length("i") + 40)).first()[0] or 0) <= BROADCAST_BYTES
     if not small:
-        known = rows.join(sizes.select("k"), "k", "left_semi").select(F.col("k").alias(on), F.col("i").alias(of))
-        return top_similar(symmetrise(normalise_rows(cooccurrence(known, on, of))), n, digits)
+        return None
     local = placed.orderBy("p").toPandas()
     names, totals = local["i"].to_numpy(dtype=object), np.maximum(local["t"].to_numpy(dtype=np.float64), 1e-300)
     codes = F.broadcast(placed.select("i", (F.col("p") - 1).cast("int").alias("code")))
     lists = rows.join(sizes.select("k"), "k", "left_semi").join(codes, "i").groupBy("k").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     pairs = float(sizes.agg(F.sum(F.col("h") * (F.col("h") - 1))).first()[0] or 0)
-    buckets = max(8, math.ceil(pairs / FLUSH))
+    buckets = max(8, math.ceil(pairs / per))
     found = lists.select("codes").mapInArrow(_emit(buckets), "bucket int, keys binary, counts binary")
+    return placed, names, totals, lists, found, buckets
+
+
+def top_cooccurring(obs: DataFrame, n: int, on: str = "userid", of: str = "itemid", digits: int = 9, max_list: int | None = None) -> DataFrame:
+    """(itemid_source, itemid, prediction): the n most similar by symmetrised row-normalised counts.
+
+    With binary weights a row's total is the sum of its lists' lengths less one, so the
+    score is n_ab / t_a + n_ab / t_b and needs no second pass over the pairs. Pairs are
+    netted and ranked on packed integers in numpy, a few bytes each on the wire, which is
+    several times faster than exploding them as rows. The vocabulary and totals go to
+    the tasks only while they stay under 64 MB; a larger one takes the relational plan.
+    Lists longer than ``max_list`` are left out if it is given.
+    """
+    coded = coded_pairs(obs, on, of, max_list)
+    if coded is None:
+        known = obs.select(F.col(on), F.col(of).cast("string").alias(of)).distinct()
+        if max_list:
+            known = known.join(known.groupBy(on).count().filter(F.col("count") <= max_list).select(on), on, "left_semi")
+        return top_similar(symmetrise(normalise_rows(cooccurrence(known, on, of))), n, digits)
+    _, names, totals, _, found, buckets = coded
     best = found.repartition(min(buckets, 4096), "bucket").groupBy("bucket").applyInArrow(_best(totals, names, n, digits), "source string, target string, prediction double")
     return best.select(F.col("source").alias("itemid_source"), F.col("target").alias("itemid"), "prediction")

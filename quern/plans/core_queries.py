@@ -12,6 +12,7 @@ from quern.operators import metrics as me
 from quern.operators import models as mo
 from quern.operators import observations as ob
 from quern.operators import recommend as re_
+from quern.operators import scoring as sc
 from quern.operators import similarity as si
 from quern.plans import views
 from quern.plans.tables import table
@@ -201,25 +202,17 @@ _CUT = "recs as (select userid, itemid, prediction, k - 1 as rank from (select *
 _NEW = "fresh as (select * from scores anti join {train} using (userid, itemid))"
 
 
-def _item_scores(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = cut(views.obs(s, d), "obs")
-    scores = re_.item_scores(o, co.top_cooccurring(o, 20))
-    return o, scores.withColumn("prediction", F.round("prediction", 9))
-
-
 _ITEM = f"{_cooc_sql(20)}, {_REC.format(train='obs')}, {_NEW.format(train='obs')}"
 
 
 @query(f"{_ITEM}, {_CUT.format(src='fresh')} select userid, itemid, prediction from recs")
 def recommend_item_cooc(s: SparkSession, d: str) -> DataFrame:
-    o, scores = _item_scores(s, d)
-    return re_.recommend(scores, 10, exclude=o)
+    return sc.recommend_by_items(cut(views.obs(s, d), "obs"), 10)
 
 
 @query(f"{_ITEM}, chosen as (select * from fresh where itemid in (select cast(p_partkey as varchar) from part where p_size <= 10)), {_CUT.format(src='chosen')} select userid, itemid, prediction from recs")
 def recommend_item_filter(s: SparkSession, d: str) -> DataFrame:
-    o, scores = _item_scores(s, d)
-    return re_.recommend(scores, 10, exclude=o, items=views.items(s, d).filter("p_size <= 10"))
+    return sc.recommend_by_items(cut(views.obs(s, d), "obs"), 10, items=views.items(s, d).filter("p_size <= 10"))
 
 
 @query(f"""with {OBS_SQL}, pairs as (select a.userid a, b.userid b, count(*) v from obs a join obs b on a.itemid = b.itemid and a.userid <> b.userid group by 1, 2),
@@ -227,9 +220,7 @@ l1 as (select a, b, v / sum(v) over (partition by a) v from pairs), {_top("l1",
 scores as (select m.itemid_source userid, t.itemid, round(sum(m.prediction * t.rating), 9) prediction from simil m join obs t on t.userid = m.itemid group by 1, 2),
 {_NEW.format(train='obs')}, {_CUT.format(src='fresh')} select userid, itemid, prediction from recs""")
 def recommend_user_cooc(s: SparkSession, d: str) -> DataFrame:
-    o = cut(views.obs(s, d), "obs")
-    sim = co.top_similar(co.normalise_rows(co.cooccurrence(o, on="itemid", of="userid")), 20, source="userid", target="other")
-    return re_.recommend(re_.user_scores(o, sim).withColumn("prediction", F.round("prediction", 9)), 10, exclude=o)
+    return sc.recommend_by_users(cut(views.obs(s, d), "obs"), 10)
 
 
 @query(f"{_ITEM}, {_CUT.format(src='fresh')} select userid, string_agg(itemid, ',' order by rank) items, count(*) n from recs group by userid")
@@ -240,9 +231,10 @@ def recommend_lists(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_ITEM}, one as (select min(userid) u from obs) select u userid, i.itemid, f.prediction from one, (select distinct itemid from obs) i left join fresh f on f.itemid = i.itemid and f.userid = (select u from one)")
 def predict_for_user(s: SparkSession, d: str) -> DataFrame:
-    o, scores = _item_scores(s, d)
-    user = o.agg(F.min("userid")).first()[0]
-    return re_.predict_for_user(scores, user, o.select("itemid").distinct(), o)
+    o = cut(views.obs(s, d), "obs")
+    one = o.agg(F.min("userid").alias("userid"))
+    user = one.first()[0]
+    return re_.predict_for_user(sc.recommend_by_items(o, None, users=one), user, o.select("itemid").distinct(), o)
 
 
 @query(f"{_ITEM}, {_CUT.format(src='fresh')} select userid, itemid, rank from recs")
@@ -275,8 +267,7 @@ _EVAL = _EVAL.replace("{h1}", _h("least(5, pos)")).replace("{h2}", _h("pos"))
 def _evaluation(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int, DataFrame]:
     parts = cut(ob.split_by_time(views.obs(s, d), "ts", ratio=0.2, ties=_TIES), "split")
     train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'").withColumn("dataset", F.lit("test"))
-    scores = re_.item_scores(train, co.top_cooccurring(train, 20)).withColumn("prediction", F.round("prediction", 9))
-    recs = ob.zero_ranks(re_.recommend(scores, 10, exclude=train), "userid", "prediction", "itemid")
+    recs = ob.zero_ranks(sc.recommend_by_items(train, 10), "userid", "prediction", "itemid")
     return test, cut(recs, "recs"), train.select("itemid").distinct().count(), train
 
 
@@ -413,7 +404,7 @@ select userid, itemid, prediction from (select *, row_number() over (partition b
 def cascade(s: SparkSession, d: str) -> DataFrame:
     """Co-occurrence candidates ordered again by popularity."""
     o = cut(views.obs(s, d), "obs")
-    first = re_.recommend(re_.item_scores(o, co.top_cooccurring(o, 20)).withColumn("prediction", F.round("prediction", 9)), 10, exclude=o)
+    first = sc.recommend_by_items(o, 10)
     popular = o.groupBy("itemid").agg(F.count("*").cast("double").alias("prediction"))
     return en.cascade(first, lambda c: c.join(popular, "itemid"), 3)
 
