@@ -191,3 +191,60 @@ def recommend_by_users(train: DataFrame, n: int, digits: int = 9) -> DataFrame:
     parts = min(4 * buckets, 4096)
     blocks = found.repartition(parts, "bucket").groupBy("bucket").cogroup(right.repartition(parts, "bucket").groupBy("bucket"))
     return blocks.applyInArrow(_user_block(totals, names, items, n, digits), "userid string, itemid string, prediction double")
+
+
+def _squares(table: pa.Table) -> pa.Table:
+    _, _, counts = _pairs(table)
+    return pa.table({"s": pa.array([float((counts.astype(np.float64) ** 2).sum())], pa.float64())})
+
+
+def _square_block(names: np.ndarray, own: float, scale: float, n: int, digits: int):
+    """Cogroup of a block of rows a and a block of columns b of the counts C: the n best b of own C + scale C C per a."""
+
+    def run(rows: pa.Table, cols: pa.Table) -> pa.Table:
+        if not rows.num_rows or not cols.num_rows:
+            return _table([], names, names)
+        a, m, counts = _pairs(rows)
+        b, k, other = _pairs(cols)
+        order = np.argsort(k, kind="stable")  # C is symmetric: row k of C within the block of columns
+        block, local = np.unique(b[order], return_inverse=True)
+        ptr, vals = np.searchsorted(k[order], np.arange(len(names) + 1)), other[order].astype(np.float64)
+        del b, k, other, order
+        # The term of C itself is one more link of a, to its own row, put before the others.
+        ids, first, size = np.unique(a, return_index=True, return_counts=True)
+        link, weight = np.insert(m, first, ids), np.insert(counts * scale, first, own)
+        place = np.searchsorted(block, ids)
+        inside = (place < len(block)) & (block[np.minimum(place, len(block) - 1)] == ids)
+
+        def known(lo: int, hi: int) -> np.ndarray:
+            return (np.arange(hi - lo) * len(block) + place[lo:hi])[inside[lo:hi]]
+
+        found = list(_product(size + 1, link, weight, ptr, local, vals, len(block), n, digits, known))
+        return _table(found, names[ids], names[block])
+
+    return run
+
+
+def top_second_degree(obs: DataFrame, n: int, digits: int = 9, decay: float = 0.3) -> DataFrame:
+    """(itemid_source, itemid, prediction): the n best per item of ``second_degree`` of the counts, over all items.
+
+    The total of the square without diagonal is the sum of the squared row totals less the sum of the squared
+    counts, so the factor is known before the square is made. Every block of rows meets every block of columns;
+    no cell of the square leaves its task but the n best. The work is the number of paths of length two.
+    A vocabulary over 64 MB takes the relational plan.
+    """
+    coded = co.coded_pairs(obs)
+    if coded is None:
+        return co.top_similar(co.second_degree(cut(co.cooccurrence(obs), "base")), n, digits)
+    _, names, totals, _, found, buckets = coded
+    found = cut(found, "pairs")
+    squares = found.groupBy("bucket").applyInArrow(_squares, "s double").agg(F.sum("s")).first()[0] or 0.0
+    total = float(totals.sum())
+    factor = total / max(total + decay**2 * (float((totals**2).sum()) - squares), LEAST)
+    each = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    left = found.select(F.col("bucket").alias("i"), each.alias("j"), "keys", "counts")
+    right = found.select(each.alias("i"), F.col("bucket").alias("j"), F.col("keys").alias("keys"), F.col("counts").alias("counts"))  # attributes of its own
+    parts = min(2 * buckets * buckets, 4096)
+    blocks = left.repartition(parts, "i", "j").groupBy("i", "j").cogroup(right.repartition(parts, "i", "j").groupBy("i", "j"))
+    best = blocks.applyInArrow(_square_block(names, 1 + factor, factor * decay**2, n, digits), "userid string, itemid string, prediction double")
+    return re_.top_per_user(best, n, digits).withColumnRenamed("userid", "itemid_source")

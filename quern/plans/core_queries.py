@@ -159,9 +159,7 @@ def item_cooc_min3(s: SparkSession, d: str) -> DataFrame:
 high as (select a, b, sum(v) v from (select * from pairs union all select * from sq) group by 1, 2), f as (select (select sum(v) from pairs) / (select sum(v) from high) f),
 both_ as (select a, b, sum(v) v from (select * from pairs union all select a, b, v * f from high, f) group by 1, 2), {_top("both_", 10, 6)} select * from simil""")
 def item_cooc_degree2(s: SparkSession, d: str) -> DataFrame:
-    few = ob.sample_observations(views.obs(s, d), n_items=100)
-    base = cut(co.cooccurrence(few), "base")
-    return co.top_similar(co.second_degree(base), 10, 6)
+    return sc.top_second_degree(cut(views.obs(s, d), "obs"), 10, 6)
 
 
 @query(f"""with {OBS_SQL}, pairs as (select a.userid a, b.userid b, count(*) v from obs a join obs b on a.itemid = b.itemid and a.userid <> b.userid group by 1, 2),

@@ -1,8 +1,10 @@
 """Queries against the SQL of the whole job, where the registered SQL holds a cut."""
 
+import numpy as np
 import pytest
 
 from quern.plans import core_queries as cq
+from quern.plans import views
 from tests.oracle import same
 
 CAPPED = ("recommend_item_cooc", "recommend_item_filter", "recommend_user_cooc", "recommend_lists", "predict_for_user", "rank_zero_based", "cascade")
@@ -18,3 +20,23 @@ def whole(name: str) -> str:
 @pytest.mark.parametrize("name", CAPPED)
 def test_scores_sum_over_all_partners(spark, sf, name):
     same(spark, sf, cq.QUERIES[name], whole(name))
+
+
+def test_second_degree_covers_every_item(spark, sf):
+    o = views.obs(spark, sf).toPandas()
+    users, items = (sorted(set(o[c])) for c in ("userid", "itemid"))
+    held = np.zeros((len(users), len(items)))
+    held[o.userid.map(users.index), o.itemid.map(items.index)] = 1
+    base = held.T @ held
+    np.fill_diagonal(base, 0)
+    square = 0.09 * base @ base
+    np.fill_diagonal(square, 0)
+    high = base + square
+    both = np.round(base + high * base.sum() / high.sum(), 6)
+    want = set()
+    for i, row in enumerate(both):
+        best = sorted((-x, j) for j, x in enumerate(row) if high[i, j] > 0)[:10]
+        want |= {(items[i], items[j], f"{-x:.5f}") for x, j in best}
+    got = {(r.itemid_source, r.itemid, f"{r.prediction:.5f}") for r in cq.item_cooc_degree2(spark, sf).collect()}
+    assert len({a for a, _, _ in want}) > 100
+    assert {x[:2] for x in got} == {x[:2] for x in want} and len(got) == len(want)
