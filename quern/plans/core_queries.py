@@ -265,8 +265,9 @@ _EVAL = _EVAL.replace("{h1}", _h("least(5, pos)")).replace("{h2}", _h("pos"))
 def _evaluation(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int, DataFrame]:
     parts = cut(ob.split_by_time(views.obs(s, d), "ts", ratio=0.2, ties=_TIES), "split")
     train, test = parts.filter("part = 'train'"), parts.filter("part = 'test'").withColumn("dataset", F.lit("test"))
-    recs = ob.zero_ranks(sc.recommend_by_items(train, 10), "userid", "prediction", "itemid")
-    return test, cut(recs, "recs"), train.select("itemid").distinct().count(), train
+    n_items = train.select("itemid").distinct().count()
+    recs = ob.zero_ranks(sc.recommend_by_items(train, min(100, n_items)), "userid", "prediction", "itemid")
+    return test, cut(recs, "recs"), n_items, train
 
 
 @query(_EVAL + " select userid, " + ", ".join(f"round({m}, 6) {m}" for m in me.METRICS) + " from m")

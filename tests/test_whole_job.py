@@ -40,3 +40,11 @@ def test_second_degree_covers_every_item(spark, sf):
     got = {(r.itemid_source, r.itemid, f"{r.prediction:.5f}") for r in cq.item_cooc_degree2(spark, sf).collect()}
     assert len({a for a, _, _ in want}) > 100
     assert {x[:2] for x in got} == {x[:2] for x in want} and len(got) == len(want)
+
+
+@pytest.mark.parametrize("name", ["metrics_per_user", "metrics_report", "gini_coverage"])
+def test_metrics_rank_up_to_100_items(spark, sf, name):
+    cut10 = cq._CUT.format(src="fresh")
+    assert cut10 in cq.SQL[name]
+    ranked = cut10.replace("k <= 10", "k <= (select least(100, count(distinct itemid)) from obs)")
+    same(spark, sf, cq.QUERIES[name], whole(name).replace(cut10, ranked))
