@@ -119,9 +119,12 @@ def line_breaks(df: DataFrame) -> DataFrame:
     """Adds booleans some, goes_on and tight: signs that text m is wrapped, its single line breaks falling inside sentences.
 
     A line that ends without a mark before one that starts in lower case is wrapped.
-    Failing that (no capitals, scripts without case), a text is wrapped if no line is
-    longer than hard wrapping allows and no next word would have fitted its line. Lines
-    and breaks are columns of their own, so that no lambda works them out again per line.
+    Failing that (no capitals, scripts without case), the text's own width decides: of at
+    least three breaks, 85 % come where the next word would have passed the usual longest
+    line, or else where the last word passed the usual shortest one; words of over a third
+    of a line say nothing. A text that shows no width of its own, as with one or two breaks,
+    is wrapped if no line is over 66 and no next word would have brought one to 57 or less.
+    Lines and breaks are columns of their own, so that no lambda works them out again per line.
     """
     t = F.col("m")
     broken = t.rlike(r"[\r\n]\s*\S")  # the lines of other texts are not looked at
@@ -131,10 +134,19 @@ def line_breaks(df: DataFrame) -> DataFrame:
     df = df.withColumn("loose", F.filter("breaks", lambda x: ~x["a"].rlike(rf"(?U)[{_ENDS}][\p{{Pe}}\p{{Pf}}\p{{Pi}}\"'’]*$")))
     fits = lambda x: F.char_length(x["a"]) + 1 + F.char_length(F.regexp_extract(x["b"], r"(?U)^\S+", 0)) <= 57
     tight = (F.array_max(F.transform("lines", lambda x: F.char_length(x))) <= 66) & ~F.exists("breaks", fits)
+    word = lambda c, p: F.char_length(F.regexp_extract(c, p, 0))
+    df = df.withColumn("ends", F.transform("breaks", lambda x: F.struct(F.char_length(x["a"]).alias("n"), word(x["b"], r"(?U)^\S+").alias("next"), word(x["a"], r"(?U)\S+$").alias("last"))))
+    df = df.withColumn("widths", F.array_sort(F.transform("ends", lambda x: x["n"])))
+    rank = F.size("widths") - 1
+    df = df.withColumns({"longest": F.get("widths", F.floor((9 * rank + 9) / 10).cast("int")), "shortest": F.get("widths", F.floor(rank / 10).cast("int"))})
+    most = lambda f: F.size(F.filter("ends", f)) >= 0.85 * F.size("ends")
+    filled = most(lambda x: (x["n"] + 1 + x["next"] > F.col("longest")) & (3 * x["next"] <= F.col("longest")))
+    passed = most(lambda x: (x["n"] - x["last"] - 1 < F.col("shortest")) & (x["n"] >= F.col("shortest")) & (3 * x["last"] <= F.col("shortest")))
+    tight = tight | ((F.size("ends") >= 3) & (filled | passed))
     goes_on = F.exists("loose", lambda x: x["b"].rlike(r"^[\p{Ll},;:!?)»]"))
     some = (F.size("loose") > 0) & ~t.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{4}")
     said = {k: F.coalesce(v, F.lit(False)) for k, v in {"some": some, "goes_on": goes_on, "tight": tight}.items()}
-    return df.withColumns(said).drop("lines", "breaks", "loose")
+    return df.withColumns(said).drop("lines", "breaks", "loose", "ends", "widths", "longest", "shortest")
 
 
 def split_points(df: DataFrame) -> DataFrame:

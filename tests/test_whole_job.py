@@ -1,5 +1,7 @@
 """Queries against the SQL of the whole job, where the registered SQL holds a cut."""
 
+import textwrap
+
 import numpy as np
 import pytest
 
@@ -48,3 +50,14 @@ def test_metrics_rank_up_to_100_items(spark, sf, name):
     assert cut10 in cq.SQL[name]
     ranked = cut10.replace("k <= 10", "k <= (select least(100, count(distinct itemid)) from obs)")
     same(spark, sf, cq.QUERIES[name], whole(name).replace(cut10, ranked))
+
+
+@pytest.mark.parametrize("width", [50, 72, 80, 100])
+def test_wrapped_text_without_case_keeps_its_sentences(spark, width):
+    from quern.llm.sentences import sentences
+
+    words = "यह थैला बहुत अच्छा है और मैं इसे रोज़ बाज़ार ले जाता हूँ क्योंकि इसमें सारा सामान आ जाता है".split()
+    text = textwrap.fill(" ".join(words * 6) + "।", width)
+    lines = "यह थैला अच्छा है\nमैं इसे रोज़ बाज़ार ले जाता हूँ और इसमें सारा सामान आ जाता है\nसस्ता है\nइसका रंग भी बहुत अच्छा है"
+    got = sentences(spark.createDataFrame([(1, text), (2, lines)], "doc_id long, text string")).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {1: 1, 2: 4}
