@@ -5,7 +5,8 @@ marks inside quotations or brackets) are replaced by private-use placeholders of
 the same length, boundaries are then inserted by terminator patterns for the
 script at hand, and the original text is cut at the positions found; cutting the
 original restores what was masked. No pattern depends on the row's stated language:
-the letters of the text decide.
+the letters of the text decide. In quotations and brackets marks are masked only within
+400 characters of both ends, in addresses within 100 of the start; those beyond may cut.
 """
 
 from __future__ import annotations
