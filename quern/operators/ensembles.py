@@ -1,4 +1,4 @@
-"""Rank combination, cascades and geographic subdivisions."""
+"""Rank combination, cascades, geographic grids, boxes and cell assignment."""
 
 from __future__ import annotations
 
