@@ -5,51 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.quantiles import grouped_quantiles, quantiles
+from quern.operators.ranks import mean_ranks
+from quern.scratch import cut
+
 COMBINERS = ("hmean", "gmean", "mean", "min", "max")
 
 
-def average_ranks(df: DataFrame, group: str, score: str) -> DataFrame:
-    """Rank by score descending within the group, ties sharing their mean rank."""
-    ties = F.count("*").over(Window.partitionBy(group, score))
-    return df.withColumn("rank", F.rank().over(Window.partitionBy(group).orderBy(F.col(score).desc())) + (ties - 1) / F.lit(2.0))
+def combine_ranks(frames: Sequence[DataFrame], group: str, item: str, score: str, fill: float, how: str | Callable = "hmean") -> DataFrame:
+    """(group, item, score): f over 1/rank of every frame; an absent item has rank ``fill``. See combine_members."""
+    rows = reduce(DataFrame.unionByName, [df.select(group, item, score).withColumn("__q_m", F.lit(i)) for i, df in enumerate(frames)])
+    return combine_members(rows, "__q_m", group, item, score, fill, how, len(frames))
 
 
-def combine_ranks(frames: Sequence[DataFrame], group: str, item: str, score: str, fill: float, how: str | Callable = "hmean") -> DataFrame:
-    """(group, item, score): f over 1/rank of every frame; an absent item has rank ``fill``.
+def combine_members(df: DataFrame, member: str, group: str, item: str, score: str, fill: float, how: str | Callable = "hmean", n: int | None = None) -> DataFrame:
+    """(group, item, score): f over 1/rank in every member's list of the group; an absent item has rank ``fill``.
 
-    One union and one grouping instead of a chain of outer joins: the absent ranks enter
-    as a closed form of how many frames lack the item. A callable takes a pandas Series of
-    1/rank per row and member.
+    One grouping instead of a chain of outer joins: the absent ranks enter as a closed form of
+    how many of the ``n`` members (by default, all that occur) lack the item. Equal scores share
+    their mean rank; repeated rows count once; null ids and null or NaN scores are left out. A
+    callable takes a block of rows x members of 1/rank and the axis, as numpy reducers do.
     """
-    ranked = [average_ranks(df.select(group, item, score), group, score).select(group, item, F.lit(i).alias("member"), "rank") for i, df in enumerate(frames)]
-    rows = reduce(DataFrame.unionByName, ranked)
-    n = len(frames)
+    rows = df.select(member, group, item, F.col(score).cast("double").alias(score)).filter(F.col(score).isNotNull() & ~F.isnan(score)).dropna(subset=[member, group, item]).distinct()
+    if n is None:
+        rows = cut(rows, "members")
+        names = sorted(r[0] for r in rows.select(member).distinct().collect())  # one row a member
+    else:
+        names = list(range(n))
+    ranked = mean_ranks(rows, [group, member], score)
     if callable(how):
-        own = rows.groupBy(group, item).agg(F.map_from_entries(F.collect_list(F.struct("member", "rank"))).alias("m"))
-        votes = F.array(*[1 / F.coalesce(F.element_at("m", F.lit(i)), F.lit(float(fill))) for i in range(n)])
+        own = ranked.groupBy(group, item).agg(F.map_from_entries(F.collect_list(F.struct(member, "rank"))).alias("m"))
+        votes = F.array(*[1 / F.coalesce(F.element_at("m", F.lit(k)), F.lit(float(fill))) for k in names])
 
         @F.pandas_udf("double")
         def call(v: pd.Series) -> pd.Series:
-            return v.map(how).astype(float)
+            return pd.Series(np.asarray(how(np.stack(v.to_numpy()), axis=1), float)) if len(v) else pd.Series(dtype=float)
 
         return own.select(group, item, call(votes).alias(score))
-    lack = F.lit(n) - F.count("*")
+    total = len(names)
+    lack = F.lit(total) - F.count("*")
     gone = F.lit(1.0 / fill)
     some = lack > 0
     forms: dict[str, Column] = {
-        "hmean": F.lit(float(n)) / (F.sum("rank") + lack * float(fill)),
-        "gmean": F.exp((F.sum(-F.log("rank")) + lack * F.log(gone)) / n),
-        "mean": (F.sum(1 / F.col("rank")) + lack * gone) / n,
+        "hmean": F.lit(float(total)) / (F.sum("rank") + lack * float(fill)),
+        "gmean": F.exp((F.sum(-F.log("rank")) + lack * F.log(gone)) / total),
+        "mean": (F.sum(1 / F.col("rank")) + lack * gone) / total,
         "min": F.least(F.min(1 / F.col("rank")), F.when(some, gone)),
         "max": F.greatest(F.max(1 / F.col("rank")), F.when(some, gone)),
     }
     if how not in forms:
         raise ValueError(f"how must be callable or one of {COMBINERS}")
-    return rows.groupBy(group, item).agg(forms[how].alias(score))
+    return ranked.groupBy(group, item).agg(forms[how].alias(score))
 
 
 def cascade(candidates: DataFrame, scorer: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
@@ -90,14 +101,17 @@ def uniform_grid(df: DataFrame, n_lat: int, n_long: int, margin: float) -> DataF
 
 def equidense_grid(df: DataFrame, n_lat: int, n_long: int, margin: float) -> DataFrame:
     """Latitude bands of equal counts, each cut into longitude bands of equal counts, widened by the margin."""
-    steps = lambda n: F.array(*[F.lit(i / n) for i in range(n + 1)])
-    bands = df.agg(F.percentile("lat", steps(n_lat)).alias("p")).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_lat - 1)), lambda i: F.struct(F.get("p", i).alias("lo"), F.get("p", i + 1).alias("hi")))).alias("i", "r"))
-    bands = bands.select("i", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
-    inside = df.join(F.broadcast(bands), F.col("lat").between(F.col("lo"), F.col("hi")))  # n_lat rows
-    longs = inside.groupBy("i", "lo", "hi").agg(F.percentile("long", steps(n_long)).alias("p"))
-    cells = longs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_long - 1))).alias("j"))
-    r = lambda c, d: F.round(c + d, 9)
-    return cells.select((F.col("i") * n_long + F.col("j")).alias("cell"), r(F.col("lo"), -margin).alias("lat_lo"), r(F.col("hi"), margin).alias("lat_hi"), r(F.get("p", F.col("j")), -margin).alias("long_lo"), r(F.get("p", F.col("j") + 1), margin).alias("long_hi"))
+    steps = lambda n: [i / n for i in range(n + 1)]
+    p = quantiles(df, "lat", steps(n_lat))
+    bands = [(i, p[i], p[i + 1]) for i in range(n_lat)] if p else []
+    kind = "cell int, lat_lo double, lat_hi double, long_lo double, long_hi double"
+    spark = df.sparkSession
+    if not bands:
+        return spark.createDataFrame([], kind)
+    inside = df.join(F.broadcast(spark.createDataFrame(bands, "i int, lo double, hi double")), F.col("lat").between(F.col("lo"), F.col("hi")))  # n_lat rows
+    longs = grouped_quantiles(inside, "i", "long", steps(n_long))
+    cells = [(i * n_long + j, round(lo - margin, 9), round(hi + margin, 9), round(longs[i][j] - margin, 9), round(longs[i][j + 1] + margin, 9)) for i, lo, hi in bands if i in longs for j in range(n_long)]
+    return spark.createDataFrame(cells, kind)
 
 
 def assign_cells(df: DataFrame, grid: DataFrame) -> DataFrame:

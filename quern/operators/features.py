@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.positions import with_positions
+from quern.operators.quantiles import quantiles
 
 
 def infer_roles(df: DataFrame, unique_ratio: float = 0.05, n_unique: int = 20) -> dict[str, str]:
@@ -57,19 +58,28 @@ def one_hot(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, col: str, n_bins: int) -> list[float]:
-    """Percentiles 1/n .. n/n, or n + 1 equally wide edges where these are not distinct."""
-    row = df.agg(F.percentile(col, F.array(*[F.lit((i + 1) / n_bins) for i in range(n_bins)])).alias("p"), F.min(col), F.max(col)).first()
-    edges = list(row[0]) if row[0] else []
+    """Percentiles 1/n .. n/n, or n + 1 equally wide edges where these are not distinct; none without numbers."""
+    found = quantiles(df, col, [0.0, *[(i + 1) / n_bins for i in range(n_bins)]])
+    if not found:
+        return []
+    edges = found[1:]
     if len(set(edges)) == len(edges):
         return edges
-    low, high = row[1] - 0.001, row[2] + 0.001
+    low, high = found[0] - 0.001, found[-1] + 0.001
     return [low + (high - low) * i / n_bins for i in range(n_bins + 1)]
 
 
-def bin_column(col: Column, edges: Sequence[float]) -> Column:
-    """0-based right-closed bin; values outside the fitted range fall into the first or last bin."""
-    inner = F.array(*[F.lit(float(e)) for e in edges[1:-1]])
-    return F.when(col.isNotNull() & ~F.isnan(col.cast("double")), F.size(F.filter(inner, lambda e: e < col)).cast("long"))
+def bin_column(col: Column, edges: Sequence[float], missing: str | float | None = None) -> Column:
+    """0-based right-closed bin; values outside the fitted range fall into the first or last bin.
+
+    Null and NaN have no bin, or with ``missing='min'`` the first one, or that of the number ``missing``.
+    """
+    inner = F.array(*[F.lit(float(e)) for e in edges[1:-1]]) if len(edges) > 2 else F.array().cast("array<double>")
+    place = lambda x: F.size(F.filter(inner, lambda e: e < x)).cast("long")
+    known = F.when(col.isNotNull() & ~F.isnan(col.cast("double")), place(col))
+    if missing is None:
+        return known
+    return F.coalesce(known, F.lit(0).cast("long") if missing == "min" else place(F.lit(float(missing))))
 
 
 def spill(df: DataFrame, n_bins: int, spillage: int, bin_col: str = "bin") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.hashing import hashed
 from quern.functions.vectors import dot, similarity
 from quern.operators.features import encode_labels
 from quern.scratch import cut, release
@@ -151,7 +152,7 @@ def negatives(obs: DataFrame, seed: int = 42) -> DataFrame:
     from quern.operators.positions import with_positions
 
     users = with_positions(obs.select("userid", "itemid"), [], [F.col("userid").asc(), F.col("itemid").asc()], out="p").select("userid", "p")
-    items = with_positions(obs.select("userid", "itemid"), [], [F.xxhash64("userid", "itemid", F.lit(seed)).asc(), F.col("itemid").asc()], out="p").select("itemid", "p")
+    items = with_positions(obs.select("userid", "itemid"), [], [hashed("userid", "itemid", seed=seed).asc(), F.col("itemid").asc()], out="p").select("itemid", "p")
     return obs.select("userid", "itemid", F.lit(1.0).alias("rating")).unionByName(users.join(items, "p").select("userid", "itemid", F.lit(0.0).alias("rating")))
 
 

@@ -11,17 +11,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.hashing import hashed, unit_hash
 from quern.operators.positions import with_positions
+from quern.operators.quantiles import quantiles
+from quern.scratch import cut
 
 
 def observations(df: DataFrame, user: str, item: str, rating: str, ts: str | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Typed columns, one row per (userid, itemid): the first by ts, then ``order``.
 
     The first row is kept by a min over a struct, so duplicates are reduced before the
-    shuffle. Null ids form pairs of their own, as in any grouping.
+    shuffle; rows without a time, or without one of the other keys, come after those with it.
+    Null ids form pairs of their own, as in any grouping.
     """
     keys = ([ts] if ts else []) + [c for c in order if c != ts] + [rating]
-    first = F.min(F.struct(*[F.col(k) for k in dict.fromkeys(keys)])).alias("f")
+    first = F.min(F.struct(*[c for k in dict.fromkeys(keys) for c in (F.col(k).isNull().alias(f"__q_no_{k}"), F.col(k))])).alias("f")
     out = df.groupBy(F.col(user).cast("string").alias("userid"), F.col(item).cast("string").alias("itemid")).agg(first)
     cols = ["userid", "itemid", F.col(f"f.{rating}").cast("double").alias("rating")]
     return out.select(*cols, *([F.col(f"f.{ts}").alias("ts")] if ts else []))
@@ -40,9 +44,9 @@ def history_counts(obs: DataFrame, key: str) -> DataFrame:
 
 def data_info(obs: DataFrame) -> DataFrame:
     """Rows, distinct users and items, 20th and 80th rating percentiles (exact, interpolated)."""
-    p = F.percentile("rating", F.array(F.lit(0.2), F.lit(0.8)))
-    out = obs.agg(F.count("*").alias("n_rows"), F.count_distinct("userid").alias("n_users"), F.count_distinct("itemid").alias("n_items"), p.alias("p"))
-    return out.select("n_rows", "n_users", "n_items", F.col("p")[0].alias("p20"), F.col("p")[1].alias("p80"))
+    p20, p80 = quantiles(obs, "rating", [0.2, 0.8]) or (None, None)
+    out = obs.agg(F.count("*").alias("n_rows"), F.count_distinct("userid").alias("n_users"), F.count_distinct("itemid").alias("n_items"))
+    return out.select("*", F.lit(p20).cast("double").alias("p20"), F.lit(p80).cast("double").alias("p80"))
 
 
 def keep_known(obs: DataFrame, other: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def sample_ids(obs: DataFrame, key: str, n: int | None, method: str = "top", min
     if method not in ("top", "random"):
         raise ValueError("method must be 'top' or 'random'")
     counts = history_counts(obs, key).filter(F.col("n") >= min_hist)
-    order = F.col("n").desc() if method == "top" else F.xxhash64(key, F.lit(seed)).asc()
+    order = F.col("n").desc() if method == "top" else hashed(key, seed=seed).asc()
     chosen = counts.orderBy(order, F.col(key).asc()).limit(n) if n is not None else counts
     out = chosen.select(key)
     if keep:
@@ -87,7 +91,7 @@ def sample_observations(obs: DataFrame, n_users: int | None = None, n_items: int
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows by a seeded hash of the row."""
-    return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns).limit(n)
+    return df.orderBy(hashed(*df.columns, seed=seed), *df.columns).limit(n)
 
 
 def _latest(df: DataFrame, ts: str) -> DataFrame:
@@ -111,6 +115,7 @@ def split_by_time(df: DataFrame, ts: str, ratio: float | None = None, n_samples:
     """'test' for the latest int((rows - 1) * ratio) rows, else 'train'; positions are exact and distributed."""
     if (ratio is None) == (n_samples is None):
         raise ValueError("give either ratio or n_samples")
+    df = cut(df, "rows")  # counted, sampled and sorted
     rows = df.count()
     share = ratio if ratio is not None else n_samples / max(rows, 1)
     cutoff = int((rows - 1) * share)
@@ -120,15 +125,15 @@ def split_by_time(df: DataFrame, ts: str, ratio: float | None = None, n_samples:
 
 def hash_split(df: DataFrame, ratio: float, keys: Sequence[str], seed: int = 42, out: str = "part") -> DataFrame:
     """'test' for exactly ceil(ratio * rows) rows, drawn by a seeded hash of the keys."""
+    df = cut(df, "rows")
     cutoff = -int(-(df.count() * ratio) // 1)
-    placed = with_positions(df, [], [F.xxhash64(*keys, F.lit(seed)).asc(), *[F.col(k).asc() for k in keys]], out="__q_n")
+    placed = with_positions(df, [], [hashed(*keys, seed=seed).asc(), *[F.col(k).asc() for k in keys]], out="__q_n")
     return placed.select(*df.columns, F.when(F.col("__q_n") <= cutoff, "test").otherwise("train").alias(out))
 
 
-def split_some_users(df: DataFrame, user_ratio: float, test_ratio: float, key: str = "userid", seed: int = 42, out: str = "part") -> DataFrame:
-    """Only rows of a hashed share of users can be test rows, each with the given chance."""
-    unit = lambda *c: F.shiftrightunsigned(F.xxhash64(*c, F.lit(seed)), 11).cast("double") / float(1 << 53)
-    test = (unit(key) < user_ratio) & (unit(*df.columns) < test_ratio)
+def split_some_users(df: DataFrame, user_ratio: float, test_ratio: float, key: str = "userid", row: Sequence[str] = ("userid", "itemid"), seed: int = 42, out: str = "part") -> DataFrame:
+    """Only rows of a hashed share of users can be test rows, each with the given chance; ``row`` names a row."""
+    test = (unit_hash(key, seed=seed) < user_ratio) & (unit_hash(*row, seed=seed + 1) < test_ratio)
     return df.withColumn(out, F.when(test, "test").otherwise("train"))
 
 
@@ -150,6 +155,67 @@ def from_lists(df: DataFrame, *lists: str) -> DataFrame:
     return df.select(*static, F.explode(F.arrays_zip(*lists)).alias("z")).select(*static, *[F.col(f"z.{c}").alias(c) for c in lists])
 
 
+def known_together(obs: DataFrame, items: DataFrame, key: str = "itemid") -> tuple[DataFrame, DataFrame]:
+    """Observations of known items, and the items that are observed; both from the state before."""
+    return obs.join(items.select(key).distinct(), key, "left_semi"), items.join(obs.select(key).distinct(), key, "left_semi")
+
+
+def items_of_user(obs: DataFrame, items: DataFrame, user: str) -> DataFrame:
+    """The item rows of one user's distinct items."""
+    return items.join(obs.filter(F.col("userid") == user).select("itemid").distinct(), "itemid", "left_semi")
+
+
+def align_to(vocabulary: DataFrame, rows: DataFrame, key: str, code: str = "code") -> DataFrame:
+    """One row for every code of a vocabulary (key, code), nulls where ``rows`` lacks the key, its smallest row where it has several."""
+    rest = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("__q_f")).select(key, *[F.col(f"__q_f.{c}").alias(c) for c in rest])
+    return vocabulary.select(key, code).join(one, key, "left")
+
+
+def encode_ids(df: DataFrame, vocabularies: dict[str, DataFrame], drop_unseen: bool = True) -> DataFrame:
+    """Adds <column>_code from vocabularies (value, code); rows with an unseen id go, or keep a null code."""
+    for c, v in vocabularies.items():
+        df = df.join(v.select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), c, "inner" if drop_unseen else "left")
+    return df
+
+
+def decode_ids(df: DataFrame, code: str, vocabulary: DataFrame, out: str) -> DataFrame:
+    """The id of each code of a vocabulary (value, code)."""
+    return df.join(vocabulary.select(F.col("code").alias(code), F.col("value").alias(out)), code, "left")
+
+
+def join_scores(items: DataFrame, scores: DataFrame, key: str = "itemid", score: str = "prediction") -> DataFrame:
+    """Every item with its score, the best first, those without one last."""
+    return items.join(scores.select(key, score), key, "left").orderBy(F.col(score).desc_nulls_last(), F.col(key).asc())
+
+
+def common_items(obs: DataFrame, item: str, least: int = 2) -> DataFrame:
+    """(itemid, n): the items of all users of one item, with how many of these users have them, from ``least`` on."""
+    users = obs.filter(F.col("itemid") == item).select("userid").distinct()
+    return obs.join(users, "userid", "left_semi").groupBy("itemid").agg(F.count_distinct("userid").alias("n")).filter(F.col("n") >= least)
+
+
+def users_of_any(*tests: DataFrame) -> DataFrame:
+    """The distinct users of several test sets."""
+    out = tests[0].select("userid")
+    for t in tests[1:]:
+        out = out.unionByName(t.select("userid"))
+    return out.distinct()
+
+
+def pair_sums(obs: DataFrame, value: str = "rating") -> DataFrame:
+    """(userid, itemid, value) with repeated pairs added up; pairs with a null id are left out."""
+    return obs.filter("userid is not null and itemid is not null").groupBy("userid", "itemid").agg(F.sum(F.col(value).cast("double")).alias(value))
+
+
+def marker_sizes(df: DataFrame, score: str, out: str = "size", least: int = 5) -> DataFrame:
+    """Squared scores moved to 0, scaled to 10 and raised by ``least``, as whole numbers; one size if all are equal."""
+    sq = F.col(score) * F.col(score)
+    bounds = F.broadcast(df.agg(F.min(sq).alias("__q_lo"), F.max(sq).alias("__q_hi")))  # one row
+    share = F.coalesce((sq - F.col("__q_lo")) / F.nullif(F.col("__q_hi") - F.col("__q_lo"), F.lit(0.0)), F.lit(0.0))
+    return df.crossJoin(bounds).select(*df.columns, F.floor(share * 10 + least).cast("int").alias(out))
+
+
 def composite_key(*parts: str | Column, sep: str = "-") -> Column:
     return F.concat_ws(sep, *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
 

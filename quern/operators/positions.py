@@ -103,6 +103,7 @@ def with_positions(
     weight: str | None = None,
     keep: int | None = None,
     partitions: int | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Add each row's exact 1-based position within its group.
 
@@ -112,9 +113,12 @@ def with_positions(
     it. ``keep`` drops rows beyond that position, first inside each partition.
     Null and NaN groups are groups of their own; an empty table stays empty; extra
     columns pass through under their names. ``partitions`` defaults to the session's
-    shuffle partitions.
+    shuffle partitions. The range sampling reads the input once more; ``store`` writes
+    it first, where that is cheaper than making it twice.
     """
     spark = df.sparkSession
+    if store:
+        df = cut(df, "unplaced")
     names = df.columns
     if len(set(names)) != len(names):
         raise ValueError("columns must have different names")
@@ -135,7 +139,7 @@ def with_positions(
     ends = numbered.filter(f"{_KIND} > 0").select(_PART, _KIND, _POS, *key_cols).collect()  # two rows a partition
     by_part: dict[int, dict[int, tuple]] = {}
     for row in ends:
-        by_part.setdefault(row[0], {})[row[1]] = (row[2], tuple(repr(v) for v in row[3:]))
+        by_part.setdefault(row[0], {})[row[1]] = (row[2], tuple(repr(v + 0.0 if isinstance(v, float) else v) for v in row[3:]))  # -0.0 is 0.0
     offsets, before, running = [], None, 0
     for part in sorted(by_part):
         (head_sum, head), (tail_sum, tail) = by_part[part][1], by_part[part][2]

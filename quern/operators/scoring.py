@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.packed import decode, net
+from quern.functions.rounding import half_up
 from quern.operators import cooccurrence as co
+from quern.operators.cooccurrence import unpack
 from quern.operators import recommend as re_
 from quern.operators.positions import with_positions
 from quern.scratch import cut
@@ -26,17 +27,12 @@ def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(zero_copy_only=False), col.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [decode(k, c) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())]
-    keys, counts = net(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-    return keys >> 32, keys & 0xFFFFFFFF, counts
-
-
-def _product(size: np.ndarray, link: np.ndarray, weight: np.ndarray | None, ptr: np.ndarray, cols: np.ndarray, vals: np.ndarray, width: int, n: int | None, digits: int, known) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _product(size: np.ndarray, link: np.ndarray, weight: np.ndarray | None, ptr: np.ndarray, cols: np.ndarray, vals: np.ndarray, width: int, n: int | None, digits: int, known, finish=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, column, score) of the n best of each row of a sparse product, ties by column.
 
     Row r of the left matrix has the next size[r] entries of ``link`` (and ``weight``), row j of the right one
-    cols[ptr[j]:ptr[j + 1]] and vals. known(first, last) gives the cells to leave out of a range of rows.
+    cols[ptr[j]:ptr[j + 1]] and vals. known(first, last) gives the cells to leave out of a range of rows;
+    finish(first, last, cells) may add to the sums and scale them before they are ranked.
     """
     start = np.concatenate([[0], np.cumsum(size)])
     step = max(1, CELLS // max(1, width))
@@ -56,9 +52,11 @@ def _product(size: np.ndarray, link: np.ndarray, weight: np.ndarray | None, ptr:
                 w = w * np.repeat(weight[start[first] + at : start[first] + to], d)
             acc += np.bincount(cols[where] + np.repeat(base[at:to], d), w, minlength=len(acc))
             at = to
+        if finish is not None:
+            acc = finish(first, last, acc)
         acc[known(first, last)] = 0
         acc = acc.reshape(last - first, width)
-        score = np.where(acc > 0, np.round(acc, digits), -1.0)
+        score = np.where(acc > 0, half_up(acc, digits), -1.0)
         hit = acc > 0
         if n is not None and n < width:
             hit &= score >= np.partition(score, width - n, axis=1)[:, [width - n]]
@@ -83,11 +81,11 @@ def _item_block(totals: np.ndarray, names: np.ndarray, allowed: np.ndarray | Non
     def run(sims: pa.Table, lists: pa.Table) -> pa.Table:
         if not sims.num_rows or not lists.num_rows:
             return _table([], names, names)
-        a, b, counts = _pairs(sims)
+        a, b, counts = unpack(sims)
         if allowed is not None:
             keep = allowed[a]
             a, b, counts = a[keep], b[keep], counts[keep]
-        w = np.maximum(np.round(counts / totals[a] + counts / totals[b], digits), LEAST)
+        w = np.maximum(half_up(counts / totals[a] + counts / totals[b], digits), LEAST)
         order = np.argsort(b, kind="stable")
         block, cols = np.unique(a[order], return_inverse=True)
         ptr, w = np.searchsorted(b[order], np.arange(len(names) + 1)), w[order]
@@ -122,11 +120,10 @@ def recommend_by_items(train: DataFrame, n: int | None, users: DataFrame | None
         sim = co.symmetrise(co.normalise_rows(co.cooccurrence(train))).select(F.col("a").alias("itemid_source"), F.col("b").alias("itemid"), F.round("value", digits).alias("prediction"))
         own = train if users is None else train.join(users.select("userid").distinct(), "userid", "left_semi")
         return re_.recommend(re_.item_scores(own, sim), n if n is not None else 1 << 31, exclude=train, items=items)
-    placed, names, totals, lists, found, buckets = coded
-    lists = lists.withColumn("k", F.col("k").cast("string"))
+    placed, names, totals, found, buckets = coded.placed, coded.names, coded.totals, coded.found, coded.buckets
+    lists = coded.lists.withColumn("k", F.col("k").cast("string"))
     if users is not None:
         lists = lists.join(users.select(F.col("userid").alias("k")).distinct(), "k", "left_semi")
-    lists = cut(lists, "histories")
     allowed = None
     if items is not None:
         allowed = np.zeros(len(names), bool)
@@ -147,8 +144,8 @@ def _user_block(totals: np.ndarray, names: np.ndarray, items: np.ndarray, n: int
     def run(sims: pa.Table, lists: pa.Table) -> pa.Table:
         if not sims.num_rows:
             return _table([], names, items)
-        a, b, counts = _pairs(sims)
-        w = np.maximum(np.round(counts / totals[a], digits), LEAST)
+        a, b, counts = unpack(sims)
+        w = np.maximum(half_up(counts / totals[a], digits), LEAST)
         who = lists.column("code").to_numpy()
         cols, size = _flat(lists, "items")
         vals, _ = _flat(lists, "ratings")
@@ -181,7 +178,7 @@ def recommend_by_users(train: DataFrame, n: int, digits: int = 9) -> DataFrame:
     if coded is None or not small or not positive:
         sim = co.normalise_rows(co.cooccurrence(train, on="itemid", of="userid")).select(F.col("a").alias("userid"), F.col("b").alias("other"), F.round("value", digits).alias("prediction"))
         return re_.recommend(re_.user_scores(train, sim), n, exclude=train)
-    placed, names, totals, _, found, buckets = coded
+    placed, names, totals, found, buckets = coded.placed, coded.names, coded.totals, coded.found, coded.buckets
     items = vocabulary.orderBy("p").toPandas()["itemid"].to_numpy(dtype=object)
     rows = train.join(F.broadcast(placed.select(F.col("i").alias("userid"), (F.col("p") - 1).cast("int").alias("code"))), "userid")
     rows = rows.join(F.broadcast(vocabulary.select("itemid", (F.col("p") - 1).cast("int").alias("item"))), "itemid")
@@ -193,58 +190,118 @@ def recommend_by_users(train: DataFrame, n: int, digits: int = 9) -> DataFrame:
     return blocks.applyInArrow(_user_block(totals, names, items, n, digits), "userid string, itemid string, prediction double")
 
 
-def _squares(table: pa.Table) -> pa.Table:
-    _, _, counts = _pairs(table)
-    return pa.table({"s": pa.array([float((counts.astype(np.float64) ** 2).sum())], pa.float64())})
+def _pruned_stats(bound: float):
+    """applyInArrow over a bucket of rows: (code, r, q) sums of the pruned entries and of their squares."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, _, v = unpack(table)
+        keep = v >= bound
+        code, at = np.unique(a[keep], return_inverse=True)
+        own = v[keep].astype(np.float64)
+        return pa.table({"code": pa.array(code, pa.int64()), "r": np.bincount(at, own, minlength=len(code)), "q": np.bincount(at, own * own, minlength=len(code))})
+
+    return run
+
+
+def _linked(bound: float, r: np.ndarray):
+    """applyInArrow over a bucket: (code, s), for each row a the sum of H[a, m] r[m]."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, v = unpack(table)
+        keep = v >= bound
+        code, at = np.unique(a[keep], return_inverse=True)
+        return pa.table({"code": pa.array(code, pa.int64()), "s": np.bincount(at, v[keep] * r[b[keep]], minlength=len(code))})
+
+    return run
+
+
+def _histogram(table: pa.Table) -> pa.Table:
+    _, _, v = unpack(table)
+    value, n = np.unique(v, return_counts=True)
+    return pa.table({"value": pa.array(value.astype(np.float64)), "n": pa.array(n.astype(np.int64))})
 
 
-def _square_block(names: np.ndarray, own: float, scale: float, n: int, digits: int):
-    """Cogroup of a block of rows a and a block of columns b of the counts C: the n best b of own C + scale C C per a."""
+def _square_block(names: np.ndarray, inverse: np.ndarray, bound: float, factor: float, decay: float, both: bool, n: int, digits: int):
+    """Cogroup of a block of rows a and a block of columns b of the counts C: the n best b per a.
+
+    The cell is C + factor (H + decay H H) with H the entries of C of at least ``bound``, times
+    1 / t_a (+ 1 / t_b); H H has no diagonal.
+    """
 
     def run(rows: pa.Table, cols: pa.Table) -> pa.Table:
         if not rows.num_rows or not cols.num_rows:
             return _table([], names, names)
-        a, m, counts = _pairs(rows)
-        b, k, other = _pairs(cols)
-        order = np.argsort(k, kind="stable")  # C is symmetric: row k of C within the block of columns
-        block, local = np.unique(b[order], return_inverse=True)
-        ptr, vals = np.searchsorted(k[order], np.arange(len(names) + 1)), other[order].astype(np.float64)
+        a, m, counts = unpack(rows)
+        b, k, other = unpack(cols)
+        block = np.unique(b)
+        local = np.full(len(names), -1, np.int64)
+        local[block] = np.arange(len(block))
+        keep = other >= bound
+        b, k, other = b[keep], k[keep], other[keep]
+        order = np.argsort(k, kind="stable")  # C is symmetric: row k of H within the block of columns
+        ptr, vals, columns = np.searchsorted(k[order], np.arange(len(names) + 1)), other[order].astype(np.float64), local[b[order]]
         del b, k, other, order
-        # The term of C itself is one more link of a, to its own row, put before the others.
-        ids, first, size = np.unique(a, return_index=True, return_counts=True)
-        link, weight = np.insert(m, first, ids), np.insert(counts * scale, first, own)
-        place = np.searchsorted(block, ids)
-        inside = (place < len(block)) & (block[np.minimum(place, len(block) - 1)] == ids)
+        ids = np.unique(a)
+        # What C and H themselves have in the cells.
+        inside = local[m] >= 0
+        row, col = np.searchsorted(ids, a[inside]), local[m[inside]]
+        own = counts[inside] * np.where(counts[inside] >= bound, 1 + factor, 1.0)
+        at = np.searchsorted(row, np.arange(len(ids) + 1))
+        keep = counts >= bound
+        link, weight = m[keep], counts[keep] * (factor * decay)
+        size = np.bincount(np.searchsorted(ids, a[keep]), minlength=len(ids))
+        scale = inverse[block] if both else np.zeros(len(block))
+        diagonal = local[ids]
+
+        def finish(lo: int, hi: int, acc: np.ndarray) -> np.ndarray:
+            acc[(row[at[lo] : at[hi]] - lo) * len(block) + col[at[lo] : at[hi]]] += own[at[lo] : at[hi]]
+            return (acc.reshape(hi - lo, len(block)) * (inverse[ids[lo:hi], None] + scale)).ravel()
 
         def known(lo: int, hi: int) -> np.ndarray:
-            return (np.arange(hi - lo) * len(block) + place[lo:hi])[inside[lo:hi]]
+            here = diagonal[lo:hi]
+            return (np.arange(hi - lo) * len(block) + here)[here >= 0]
 
-        found = list(_product(size + 1, link, weight, ptr, local, vals, len(block), n, digits, known))
+        found = list(_product(size, link, weight, ptr, columns, vals, len(block), n, digits, known, finish))
         return _table(found, names[ids], names[block])
 
     return run
 
 
-def top_second_degree(obs: DataFrame, n: int, digits: int = 9, decay: float = 0.3) -> DataFrame:
-    """(itemid_source, itemid, prediction): the n best per item of ``second_degree`` of the counts, over all items.
+def top_second_degree(obs: DataFrame, n: int, digits: int = 9, prune_ratio: float = 0.5, decay: float = 0.3, min_cooccurrence: float = 3, both: bool = True, on: str = "userid", of: str = "itemid") -> DataFrame:
+    """(itemid_source, itemid, prediction): the n best per item of ``higher_degree`` 2, row-normalised (and symmetrised).
 
-    The total of the square without diagonal is the sum of the squared row totals less the sum of the squared
-    counts, so the factor is known before the square is made. Every block of rows meets every block of columns;
-    no cell of the square leaves its task but the n best. The work is the number of paths of length two.
-    A vocabulary over 64 MB takes the relational plan.
+    Of the pruned matrix H with row sums r, the row sums of H H without diagonal are sum_m H[a,m] r[m] less
+    sum_m H[a,m]^2, so the rescaling factor and every row's total are known before the square is made. Every block
+    of rows meets every block of columns; no cell of the square leaves its task but the n best. The work is the
+    number of paths of length two in H. A vocabulary over 64 MB takes the relational plan.
     """
-    coded = co.coded_pairs(obs)
+    coded = co.coded_pairs(obs, on, of)
     if coded is None:
-        return co.top_similar(co.second_degree(cut(co.cooccurrence(obs), "base")), n, digits)
-    _, names, totals, _, found, buckets = coded
-    found = cut(found, "pairs")
-    squares = found.groupBy("bucket").applyInArrow(_squares, "s double").agg(F.sum("s")).first()[0] or 0.0
-    total = float(totals.sum())
-    factor = total / max(total + decay**2 * (float((totals**2).sum()) - squares), LEAST)
+        sim = co.normalise_rows(co.higher_degree(co.cooccurrence(obs, on, of), 2, prune_ratio, decay, min_cooccurrence))
+        return co.top_similar(co.symmetrise(sim) if both else sim, n, digits)
+    names, buckets = coded.names, coded.buckets
+    found = cut(coded.found, "pairs")
+    bound = float(min_cooccurrence)
+    if prune_ratio > 0:
+        per = co.by_bucket(found, buckets).applyInArrow(_histogram, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).orderBy("value").toPandas()  # one row a distinct count
+        if len(per):
+            upto, q = per["n"].cumsum().to_numpy(), int(100 * prune_ratio) / 100
+            h = (upto[-1] - 1) * q
+            lo, hi = (per["value"].to_numpy()[np.searchsorted(upto, i, side="right")] for i in (math.floor(h), math.ceil(h)))
+            bound = max(bound, lo + (hi - lo) * (h - math.floor(h)))
+    r, q, s = (np.zeros(len(names)) for _ in range(3))
+    local = co.by_bucket(found, buckets).applyInArrow(_pruned_stats(bound), "code long, r double, q double").toPandas()  # one row a code
+    r[local["code"]], q[local["code"]] = local["r"], local["q"]
+    local = co.by_bucket(found, buckets).applyInArrow(_linked(bound, r), "code long, s double").toPandas()
+    s[local["code"]] = local["s"]
+    second = decay * (s - q)
+    total = float(coded.totals.sum())
+    factor = total / (float(r.sum() + second.sum()) + 1)
+    inverse = 1 / np.maximum(coded.totals + factor * (r + second), LEAST)
     each = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
     left = found.select(F.col("bucket").alias("i"), each.alias("j"), "keys", "counts")
     right = found.select(each.alias("i"), F.col("bucket").alias("j"), F.col("keys").alias("keys"), F.col("counts").alias("counts"))  # attributes of its own
     parts = min(2 * buckets * buckets, 4096)
     blocks = left.repartition(parts, "i", "j").groupBy("i", "j").cogroup(right.repartition(parts, "i", "j").groupBy("i", "j"))
-    best = blocks.applyInArrow(_square_block(names, 1 + factor, factor * decay**2, n, digits), "userid string, itemid string, prediction double")
+    best = blocks.applyInArrow(_square_block(names, inverse, bound, factor, decay, both, n, digits), "userid string, itemid string, prediction double")
     return re_.top_per_user(best, n, digits).withColumnRenamed("userid", "itemid_source")

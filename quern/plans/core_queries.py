@@ -16,7 +16,9 @@ from quern.operators import scoring as sc
 from quern.operators import similarity as si
 from quern.plans import views
 from quern.plans.tables import table
-from quern.plans.views import OBS_SQL
+from quern.plans.views import OBS_SQL, PLACES_SQL, RATINGS_SQL
+from quern.functions.hashing import hashed_sql, unit_hash_sql
+from quern.operators.quantiles import quantiles
 from quern.scratch import cut
 from quern.streaming import events as ev
 
@@ -39,58 +41,57 @@ _TIES = ("userid", "itemid")
 # Observations
 
 
-@query(f"with {OBS_SQL} select userid, itemid, rating, ts from obs")
+@query(f"with {RATINGS_SQL} select userid, itemid, rating, ts from obs")
 def obs_dedup(s: SparkSession, d: str) -> DataFrame:
-    return views.obs(s, d)
+    return views.ratings(s, d)
 
 
-@query(f"with {OBS_SQL} select count(*) n_rows, count(distinct userid) n_users, count(distinct itemid) n_items, round(quantile_cont(rating, 0.2), 6) p20, round(quantile_cont(rating, 0.8), 6) p80 from obs")
+@query(f"with {RATINGS_SQL} select count(*) n_rows, count(distinct userid) n_users, count(distinct itemid) n_items, round(quantile_cont(rating, 0.2), 6) p20, round(quantile_cont(rating, 0.8), 6) p80 from obs")
 def data_info(s: SparkSession, d: str) -> DataFrame:
-    return ob.data_info(views.obs(s, d)).withColumns({c: F.round(c, 6) for c in ("p20", "p80")})
+    return ob.data_info(views.ratings(s, d)).withColumns({c: F.round(c, 6) for c in ("p20", "p80")})
 
 
-@query(f"with {OBS_SQL} select userid, count(*) n from obs group by userid")
+@query(f"with {RATINGS_SQL} select userid, count(*) n from obs group by userid")
 def users_history_counts(s: SparkSession, d: str) -> DataFrame:
-    return ob.history_counts(views.obs(s, d), "userid")
+    return ob.history_counts(views.ratings(s, d), "userid")
 
 
-@query(f"with {OBS_SQL} select itemid, count(*) n from obs group by itemid")
+@query(f"with {RATINGS_SQL} select itemid, count(*) n from obs group by itemid")
 def items_history_counts(s: SparkSession, d: str) -> DataFrame:
-    return ob.history_counts(views.obs(s, d), "itemid")
+    return ob.history_counts(views.ratings(s, d), "itemid")
 
 
-_HALF = f"{OBS_SQL}, mid as (select quantile_disc(ts, 0.1) m from obs), early as (select obs.* from obs, mid where ts <= m)"
+_HALF = f"{RATINGS_SQL}, mid as (select quantile_cont(ts, 0.1) m from obs), early as (select obs.* from obs, mid where ts <= m)"
 
 
 def _early(obs: DataFrame) -> DataFrame:
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    mid = F.broadcast(obs.select(micros.alias("t")).agg(F.expr("percentile_disc(0.1) within group (order by t)").alias("m")))  # one row
-    return obs.crossJoin(mid).filter(micros <= F.col("m")).drop("m")
+    found = quantiles(obs, "ts", [0.1])
+    return obs.filter(F.col("ts") <= (found[0] if found else 0.0))
 
 
 @query(f"with {_HALF} select obs.* from obs where userid in (select userid from early) and itemid in (select itemid from early)")
 def filter_columns_semi(s: SparkSession, d: str) -> DataFrame:
-    o = cut(views.obs(s, d), "obs")
+    o = cut(views.ratings(s, d), "obs")
     return ob.keep_known(o, _early(o)).select("userid", "itemid", "rating", "ts")
 
 
 @query(f"with {_HALF} select obs.* from obs anti join early using (userid, itemid)")
 def filter_interactions_remove(s: SparkSession, d: str) -> DataFrame:
-    o = cut(views.obs(s, d), "obs")
+    o = cut(views.ratings(s, d), "obs")
     return ob.filter_interactions(o, _early(o), "remove").select("userid", "itemid", "rating", "ts")
 
 
 @query(f"with {_HALF} select obs.* from obs semi join early using (userid, itemid)")
 def filter_interactions_keep(s: SparkSession, d: str) -> DataFrame:
-    o = cut(views.obs(s, d), "obs")
+    o = cut(views.ratings(s, d), "obs")
     return ob.filter_interactions(o, _early(o), "keep").select("userid", "itemid", "rating", "ts")
 
 
-@query(f"""with {OBS_SQL}, u as (select userid from obs group by userid having count(*) >= 5 order by count(*) desc, userid limit 200),
+@query(f"""with {RATINGS_SQL}, u as (select userid from obs group by userid having count(*) >= 5 order by count(*) desc, userid limit 200),
 i as (select itemid from obs group by itemid having count(*) >= 5 order by count(*) desc, itemid limit 300)
 select obs.* from obs where userid in (select userid from u) and itemid in (select itemid from i)""")
 def sample_top_users_items(s: SparkSession, d: str) -> DataFrame:
-    return ob.sample_observations(views.obs(s, d), 200, 300, "top", 5, 5).select("userid", "itemid", "rating", "ts")
+    return ob.sample_observations(views.ratings(s, d), 200, 300, "top", 5, 5).select("userid", "itemid", "rating", "ts")
 
 
 @query("select event_id, user_id::varchar userid, ts from events, (select max(ts) m from events) where ts > m - interval 7 day and ts <= m - interval 2 day")
@@ -111,18 +112,70 @@ def time_batches(s: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_HALF}, late as (select userid, itemid, rating + 1 rating, ts from obs)
 select coalesce(e.userid, l.userid) userid, coalesce(e.itemid, l.itemid) itemid, coalesce(e.rating, l.rating) rating from late l full join early e using (userid, itemid)""")
 def obs_union_dedup(s: SparkSession, d: str) -> DataFrame:
-    o = cut(views.obs(s, d), "obs")
+    o = cut(views.ratings(s, d), "obs")
     return ob.union_first(_early(o), o.withColumn("rating", F.col("rating") + 1)).select("userid", "itemid", "rating")
 
 
-@query()
+@query(f"with {RATINGS_SQL} select *, case when row_number() over (order by {hashed_sql('userid', 'itemid')}, userid, itemid) <= (select ceil(0.2 * count(*)) from obs) then 'test' else 'train' end part from obs")
 def hash_split(s: SparkSession, d: str) -> DataFrame:
-    return ob.hash_split(views.obs(s, d), 0.2, _TIES)
+    return ob.hash_split(views.ratings(s, d), 0.2, _TIES)
 
 
-@query()
+@query(f"with {RATINGS_SQL} select *, case when {unit_hash_sql('userid')} < 0.2 and {unit_hash_sql('userid', 'itemid', seed=43)} < 0.2 then 'test' else 'train' end part from obs")
 def split_some_users(s: SparkSession, d: str) -> DataFrame:
-    return ob.split_some_users(views.obs(s, d), 0.2, 0.2)
+    return ob.split_some_users(views.ratings(s, d), 0.2, 0.2)
+
+
+@query(f"with {RATINGS_SQL} select obs.* from obs where itemid in (select itemid from readable_movies)")
+def known_items(s: SparkSession, d: str) -> DataFrame:
+    return ob.known_together(views.ratings(s, d), views.movies(s, d))[0].select("userid", "itemid", "rating", "ts")
+
+
+@query(f"with {RATINGS_SQL} select item_ind, itemid from readable_movies where itemid in (select itemid from obs)")
+def observed_items(s: SparkSession, d: str) -> DataFrame:
+    return ob.known_together(views.ratings(s, d), views.movies(s, d))[1].select("item_ind", "itemid")
+
+
+@query(f"with {RATINGS_SQL}, top as (select userid from obs group by userid order by count(*) desc, userid limit 1) select item_ind, itemid from readable_movies where itemid in (select itemid from obs where userid = (select userid from top))")
+def items_of_user(s: SparkSession, d: str) -> DataFrame:
+    """The movies of the user with the longest history."""
+    o = cut(views.ratings(s, d), "obs")
+    top = ob.sample_ids(o, "userid", 1).first()
+    return ob.items_of_user(o, views.movies(s, d), top[0] if top else "").select("item_ind", "itemid")
+
+
+@query(f"with {RATINGS_SQL}, v as (select itemid, row_number() over (order by itemid) - 1 code from (select distinct itemid from obs)), m as (select * from (select *, row_number() over (partition by itemid order by item_ind nulls first) k from readable_movies) where k = 1) select v.itemid, v.code, m.item_ind from v left join m using (itemid)")
+def align_items(s: SparkSession, d: str) -> DataFrame:
+    """Every rated item's code with its features' row, nulls where it has none."""
+    codes = fe.encode_labels(views.ratings(s, d), "itemid").toDF("itemid", "code")
+    return ob.align_to(codes, views.movies(s, d).select("itemid", "item_ind"), "itemid").select("itemid", "code", "item_ind")
+
+
+@query(f"with {RATINGS_SQL}, top as (select itemid from obs group by itemid order by count(*) desc, itemid limit 1) select itemid, count(*) n from obs where userid in (select userid from obs where itemid = (select itemid from top)) group by itemid having count(*) >= 2")
+def common_items(s: SparkSession, d: str) -> DataFrame:
+    o = cut(views.ratings(s, d), "obs")
+    top = ob.sample_ids(o, "itemid", 1).first()
+    return ob.common_items(o, top[0] if top else "")
+
+
+@query("select userid, itemid, round(sum(rating), 6) rating from readable_ratings where userid is not null and itemid is not null group by 1, 2")
+def pair_sums(s: SparkSession, d: str) -> DataFrame:
+    """Repeated pairs added up, NaN where one of them is."""
+    return ob.pair_sums(table(s, d, "readable_ratings")).withColumn("rating", F.round("rating", 6))
+
+
+@query(f"with {RATINGS_SQL}, pop as (select itemid, count(*)::double prediction from obs group by 1), b as (select min(prediction * prediction) lo, max(prediction * prediction) hi from pop) select itemid, prediction, cast(floor(coalesce((prediction * prediction - lo) / nullif(hi - lo, 0), 0) * 10 + 5) as int) size from pop, b")
+def marker_sizes(s: SparkSession, d: str) -> DataFrame:
+    pop = ob.history_counts(views.ratings(s, d), "itemid").select("itemid", F.col("n").cast("double").alias("prediction"))
+    return ob.marker_sizes(cut(pop, "popularity"), "prediction")
+
+
+@query(f"with {RATINGS_SQL} select itemid from obs where userid in (select userid from obs group by userid having count(*) >= 30) group by itemid order by {hashed_sql('itemid')}, itemid limit 50")
+def sample_rows(s: SparkSession, d: str) -> DataFrame:
+    """Fifty items of busy users, drawn by a hash; sampling is the feature."""
+    o = cut(views.ratings(s, d), "obs")
+    busy = ob.sample_ids(o, "userid", None, min_hist=30)
+    return ob.sample_rows(ob.filter_ids(o, "userid", busy).select("itemid").distinct(), 50)
 
 
 # Co-occurrence
@@ -131,12 +184,14 @@ _PAIRS = "pairs as (select a.itemid a, b.itemid b, {value} v from obs a join obs
 _L1 = "l1 as (select a, b, v / sum(v) over (partition by a) v from pairs), sym as (select a, b, sum(v) v from (select a, b, v from l1 union all select b, a, v from l1) group by 1, 2)"
 
 
-def _top(src: str, n: int, digits: int = 9, name: str = "simil") -> str:
+def _top(src: str, n: int | None, digits: int = 9, name: str = "simil") -> str:
+    if n is None:
+        return f"{name} as (select a itemid_source, b itemid, round(v, {digits}) prediction from {src})"
     return f"{name} as (select itemid_source, itemid, prediction from (select *, row_number() over (partition by itemid_source order by prediction desc, itemid) k from (select a itemid_source, b itemid, round(v, {digits}) prediction from {src})) where k <= {n})"
 
 
-def _cooc_sql(n: int = 10, value: str = "count(*)", having: str = "", digits: int = 9) -> str:
-    return f"with {OBS_SQL}, {_PAIRS.format(value=value, having=having)}, {_L1}, {_top('sym', n, digits)}"
+def _cooc_sql(n: int | None = 10, value: str = "count(*)", having: str = "", digits: int = 9, source: str = OBS_SQL) -> str:
+    return f"with {source}, {_PAIRS.format(value=value, having=having)}, {_L1}, {_top('sym', n, digits)}"
 
 
 @query(_cooc_sql() + " select * from simil")
@@ -144,29 +199,39 @@ def item_cooc_topn(s: SparkSession, d: str) -> DataFrame:
     return co.top_cooccurring(views.obs(s, d), 10)
 
 
+@query(_cooc_sql(source=RATINGS_SQL) + " select * from simil")
+def item_cooc_ratings(s: SparkSession, d: str) -> DataFrame:
+    """Over readable_ratings, whose default account holds a tenth of the rows."""
+    return co.top_cooccurring(views.ratings(s, d), 10)
+
+
 @query(_cooc_sql(value="sum(log10(a.rating + 1) * log10(b.rating + 1))", digits=8) + " select * from simil")
 def item_cooc_log(s: SparkSession, d: str) -> DataFrame:
-    return co.top_similar(co.symmetrise(co.normalise_rows(co.cooccurrence(views.obs(s, d), trans="log"))), 10, 8)
+    return co.top_cooccurring(views.obs(s, d), 10, digits=8, trans="log")
 
 
 @query(_cooc_sql(having=" having count(*) >= 3") + " select * from simil")
 def item_cooc_min3(s: SparkSession, d: str) -> DataFrame:
-    return co.top_similar(co.symmetrise(co.normalise_rows(co.cooccurrence(views.obs(s, d), min_count=3))), 10)
+    return co.top_cooccurring(views.obs(s, d), 10, min_count=3)
+
 
+_HIGH = """c as (select greatest(3, quantile_cont(v, 0.5)) c from pairs), h as (select pairs.* from pairs, c where v >= c),
+sq as (select x.a, y.b, sum(x.v * y.v) * 0.3::double v from h x join h y on x.b = y.a and x.a <> y.b group by 1, 2),
+high as (select a, b, sum(v) v from (select a, b, v::double v from h union all select * from sq) group by 1, 2), f as (select (select sum(v) from pairs) / (coalesce((select sum(v) from high), 0) + 1) f),
+both_ as (select a, b, sum(v) v from (select a, b, v::double v from pairs union all select a, b, v * f from high, f) group by 1, 2),
+l1 as (select a, b, v / sum(v) over (partition by a) v from both_), sym as (select a, b, sum(v) v from (select a, b, v from l1 union all select b, a, v from l1) group by 1, 2)"""
 
-@query(f"""with {OBS_SQL.replace("obs as", "obs0 as")}, few as (select itemid from obs0 group by itemid order by count(*) desc, itemid limit 100), obs as (select * from obs0 semi join few using (itemid)),
-{_PAIRS.format(value="count(*)", having="")}, sq as (select x.a, y.b, sum(x.v * y.v) * 0.09 v from pairs x join pairs y on x.b = y.a and x.a <> y.b group by 1, 2),
-high as (select a, b, sum(v) v from (select * from pairs union all select * from sq) group by 1, 2), f as (select (select sum(v) from pairs) / (select sum(v) from high) f),
-both_ as (select a, b, sum(v) v from (select * from pairs union all select a, b, v * f from high, f) group by 1, 2), {_top("both_", 10, 6)} select * from simil""")
+
+@query(f"with {OBS_SQL}, {_PAIRS.format(value='count(*)', having='')}, {_HIGH}, {_top('sym', 10, 8)} select * from simil")
 def item_cooc_degree2(s: SparkSession, d: str) -> DataFrame:
-    return sc.top_second_degree(cut(views.obs(s, d), "obs"), 10, 6)
+    """Second degree: pruned at the median and 3, squared with decay 0.3, rescaled, added and normalised."""
+    return sc.top_second_degree(views.obs(s, d), 10, 8)
 
 
 @query(f"""with {OBS_SQL}, pairs as (select a.userid a, b.userid b, count(*) v from obs a join obs b on a.itemid = b.itemid and a.userid <> b.userid group by 1, 2),
 l1 as (select a, b, v / sum(v) over (partition by a) v from pairs), {_top("l1", 10)} select itemid_source userid, itemid other, prediction from simil""")
 def user_cooc_topn(s: SparkSession, d: str) -> DataFrame:
-    sim = co.normalise_rows(co.cooccurrence(views.obs(s, d), on="itemid", of="userid"))
-    return co.top_similar(sim, 10, source="userid", target="other")
+    return co.top_cooccurring(views.obs(s, d), 10, on="itemid", of="userid", both=False, source="userid", target="other")
 
 
 # Vectors
@@ -196,32 +261,32 @@ def vec_euclid_topn(s: SparkSession, d: str) -> DataFrame:
 # Recommendations
 
 _REC = "scores as (select t.userid, s.itemid, round(sum(s.prediction), 9) prediction from {train} t join simil s on s.itemid_source = t.itemid group by 1, 2)"
-_CUT = "recs as (select userid, itemid, prediction, k - 1 as rank from (select *, row_number() over (partition by userid order by prediction desc, itemid) k from {src}) where k <= 10)"
+_CUT = "recs as (select userid, itemid, prediction, k - 1 as rank from (select *, row_number() over (partition by userid order by prediction desc, itemid) k from {src}) where k <= {n})"
 _NEW = "fresh as (select * from scores anti join {train} using (userid, itemid))"
 
 
-_ITEM = f"{_cooc_sql(20)}, {_REC.format(train='obs')}, {_NEW.format(train='obs')}"
+_ITEM = f"{_cooc_sql(None)}, {_REC.format(train='obs')}, {_NEW.format(train='obs')}"
 
 
-@query(f"{_ITEM}, {_CUT.format(src='fresh')} select userid, itemid, prediction from recs")
+@query(f"{_ITEM}, {_CUT.format(src='fresh', n=10)} select userid, itemid, prediction from recs")
 def recommend_item_cooc(s: SparkSession, d: str) -> DataFrame:
     return sc.recommend_by_items(cut(views.obs(s, d), "obs"), 10)
 
 
-@query(f"{_ITEM}, chosen as (select * from fresh where itemid in (select cast(p_partkey as varchar) from part where p_size <= 10)), {_CUT.format(src='chosen')} select userid, itemid, prediction from recs")
+@query(f"{_ITEM}, chosen as (select * from fresh where itemid in (select cast(p_partkey as varchar) from part where p_size <= 10)), {_CUT.format(src='chosen', n=10)} select userid, itemid, prediction from recs")
 def recommend_item_filter(s: SparkSession, d: str) -> DataFrame:
     return sc.recommend_by_items(cut(views.obs(s, d), "obs"), 10, items=views.items(s, d).filter("p_size <= 10"))
 
 
 @query(f"""with {OBS_SQL}, pairs as (select a.userid a, b.userid b, count(*) v from obs a join obs b on a.itemid = b.itemid and a.userid <> b.userid group by 1, 2),
-l1 as (select a, b, v / sum(v) over (partition by a) v from pairs), {_top("l1", 20)},
+l1 as (select a, b, v / sum(v) over (partition by a) v from pairs), {_top("l1", None)},
 scores as (select m.itemid_source userid, t.itemid, round(sum(m.prediction * t.rating), 9) prediction from simil m join obs t on t.userid = m.itemid group by 1, 2),
-{_NEW.format(train='obs')}, {_CUT.format(src='fresh')} select userid, itemid, prediction from recs""")
+{_NEW.format(train='obs')}, {_CUT.format(src='fresh', n=10)} select userid, itemid, prediction from recs""")
 def recommend_user_cooc(s: SparkSession, d: str) -> DataFrame:
     return sc.recommend_by_users(cut(views.obs(s, d), "obs"), 10)
 
 
-@query(f"{_ITEM}, {_CUT.format(src='fresh')} select userid, string_agg(itemid, ',' order by rank) items, count(*) n from recs group by userid")
+@query(f"{_ITEM}, {_CUT.format(src='fresh', n=10)} select userid, string_agg(itemid, ',' order by rank) items, count(*) n from recs group by userid")
 def recommend_lists(s: SparkSession, d: str) -> DataFrame:
     lists = ob.to_lists(recommend_item_cooc(s, d), "userid", "prediction", "itemid", 10)
     return lists.select("userid", F.array_join("itemid", ",").alias("items"), F.size("itemid").cast("bigint").alias("n"))
@@ -235,7 +300,7 @@ def predict_for_user(s: SparkSession, d: str) -> DataFrame:
     return re_.predict_for_user(sc.recommend_by_items(o, None, users=one), user, o.select("itemid").distinct(), o)
 
 
-@query(f"{_ITEM}, {_CUT.format(src='fresh')} select userid, itemid, rank from recs")
+@query(f"{_ITEM}, {_CUT.format(src='fresh', n=10)} select userid, itemid, rank from recs")
 def rank_zero_based(s: SparkSession, d: str) -> DataFrame:
     return ob.zero_ranks(recommend_item_cooc(s, d), "userid", "prediction", "itemid").select("userid", "itemid", "rank")
 
@@ -244,7 +309,7 @@ def rank_zero_based(s: SparkSession, d: str) -> DataFrame:
 
 _SPLIT = f"""{OBS_SQL.replace("obs as", "obs0 as")}, cut_ as (select *, row_number() over (order by ts desc, userid, itemid) k, count(*) over () n from obs0),
 obs as (select userid, itemid, rating from cut_ where k > cast(floor((n - 1) * 0.2) as bigint)), test as (select userid, itemid from cut_ where k <= cast(floor((n - 1) * 0.2) as bigint))"""
-_EVAL = f"""with {_SPLIT}, {_PAIRS.format(value="count(*)", having="")}, {_L1}, {_top("sym", 20)}, {_REC.format(train="obs")}, {_NEW.format(train="obs")}, {_CUT.format(src="fresh")},
+_EVAL = f"""with {_SPLIT}, {_PAIRS.format(value="count(*)", having="")}, {_L1}, {_top("sym", None)}, {_REC.format(train="obs")}, {_NEW.format(train="obs")}, {_CUT.format(src="fresh", n="(select least(100, count(distinct itemid)) from obs)")},
 h0 as (select t.userid, t.itemid, r.rank from test t left join recs r using (userid, itemid)),
 h as (select *, row_number() over (partition by userid order by rank nulls last, itemid) - 1 i, count(rank) over (partition by userid) nh from h0),
 ni as (select count(distinct itemid) c from obs),
@@ -365,21 +430,17 @@ def feature_cosine_topn(s: SparkSession, d: str) -> DataFrame:
 
 # Ensembles
 
-_MEMBERS = """r as (select *, case when recommender in ('als', 'cooc') then 0 else 1 end m from (select distinct recommender, groupby_col g, item_col i, scores_col v from calc_dfs_and_combine_scores
-  where scores_col is not null and not isnan(scores_col) and recommender in ('als', 'cooc', 'stars'))),
+_MEMBERS = """r as (select distinct recommender, groupby_col g, item_col i, scores_col v from calc_dfs_and_combine_scores
+  where scores_col is not null and not isnan(scores_col) and recommender is not null and groupby_col is not null and item_col is not null),
+nm as (select count(distinct recommender) nm from r),
 k as (select g, i, recommender, rank() over (partition by g, recommender order by v desc) + (count(*) over (partition by g, recommender, v) - 1) / 2.0::double rk from r),
-x as (select g, i, list(rk) l, 3 - count(*) lack from k group by 1, 2)"""
-
-
-def _members(s: SparkSession, d: str) -> list[DataFrame]:
-    rows = table(s, d, "calc_dfs_and_combine_scores").filter("scores_col is not null and not isnan(scores_col)").select("recommender", "groupby_col", "item_col", "scores_col").distinct()
-    return [rows.filter(F.col("recommender") == m) for m in ("als", "cooc", "stars")]
+x as (select g, i, list(rk) l, any_value(nm) nm, any_value(nm) - count(*) lack from k, nm group by 1, 2)"""
 
 
 _FORMS = {
-    "hmean": "3 / (list_sum(l) + lack * 50.0::double)",
-    "gmean": "exp((-list_sum(list_transform(l, lambda q: ln(q))) - lack * ln(50.0::double)) / 3)",
-    "mean": "(list_sum(list_transform(l, lambda q: 1 / q)) + lack / 50.0::double) / 3",
+    "hmean": "nm / (list_sum(l) + lack * 50.0::double)",
+    "gmean": "exp((-list_sum(list_transform(l, lambda q: ln(q))) - lack * ln(50.0::double)) / nm)",
+    "mean": "(list_sum(list_transform(l, lambda q: 1 / q)) + lack / 50.0::double) / nm",
     "min": "least(1 / list_max(l), case when lack > 0 then 1 / 50.0::double end)",
     "max": "greatest(1 / list_min(l), case when lack > 0 then 1 / 50.0::double end)",
 }
@@ -387,7 +448,7 @@ _FORMS = {
 
 def _combine(how: str):
     def run(s: SparkSession, d: str) -> DataFrame:
-        out = en.combine_ranks(_members(s, d), "groupby_col", "item_col", "scores_col", 50.0, how)
+        out = en.combine_members(table(s, d, "calc_dfs_and_combine_scores"), "recommender", "groupby_col", "item_col", "scores_col", 50.0, how)
         return out.select("groupby_col", "item_col", F.round("scores_col", 9).alias("score"))
 
     return run
@@ -398,7 +459,7 @@ for _how, _form in _FORMS.items():
     SQL[f"combine_{_how}"] = f"with {_MEMBERS} select g groupby_col, i item_col, round({_form}, 9) score from x"
 
 
-@query(f"""{_ITEM}, {_CUT.format(src='fresh')}, pop as (select itemid, count(*) c from obs group by 1), again as (select userid, itemid, round(c * 1.0::double, 9) prediction from recs join pop using (itemid))
+@query(f"""{_ITEM}, {_CUT.format(src='fresh', n=10)}, pop as (select itemid, count(*) c from obs group by 1), again as (select userid, itemid, round(c * 1.0::double, 9) prediction from recs join pop using (itemid))
 select userid, itemid, prediction from (select *, row_number() over (partition by userid order by prediction desc, itemid) k from again) where k <= 3""")
 def cascade(s: SparkSession, d: str) -> DataFrame:
     """Co-occurrence candidates ordered again by popularity."""
@@ -410,22 +471,36 @@ def cascade(s: SparkSession, d: str) -> DataFrame:
 
 # Places
 
-_GEO = "g as (select cast(vec_id as varchar) itemid, embedding[1]::double lat, embedding[2]::double long from embeddings)"
+_GEO = PLACES_SQL
 
 
-@query(f"with {_GEO} select * from g where lat between -0.1 and 0.2 and long between -0.2 and 0.1")
+@query(f"with {_GEO} select * from g where lat between -40 and 10 and long between 100 and 160")
 def geo_range(s: SparkSession, d: str) -> DataFrame:
-    return views.geo(s, d).filter(en.in_box(F.col("lat"), F.col("long"), (-0.1, 0.2, -0.2, 0.1)))
+    return views.places(s, d).filter(en.in_box(F.col("lat"), F.col("long"), (-40.0, 10.0, 100.0, 160.0)))
+
+
+_MIDDLE = "c as (select quantile_cont(lat, 0.5) y, quantile_cont(long, 0.5) x from g)"
+
+
+def _middle(places: DataFrame) -> tuple[float, float]:
+    return (quantiles(places, "lat", [0.5]) or [0.0])[0], (quantiles(places, "long", [0.5]) or [0.0])[0]
 
 
-@query(f"with {_GEO} select * from g where pow(lat - 0.05, 2) + pow(long + 0.05, 2) <= 0.02")
+@query(f"with {_GEO}, {_MIDDLE} select g.* from g, c where pow(lat - y, 2) + pow(long - x, 2) <= 400")
 def geo_circle(s: SparkSession, d: str) -> DataFrame:
-    return views.geo(s, d).filter(en.in_circle(F.col("lat"), F.col("long"), (0.05, -0.05), 0.02))
+    p = cut(views.places(s, d), "places")
+    return p.filter(en.in_circle(F.col("lat"), F.col("long"), _middle(p), 400.0))
 
 
-@query(f"with {_GEO} select * from g where lat between -0.1 and 0.1 and long between -0.1 and 0.1")
+@query(f"with {_GEO}, {_MIDDLE} select g.* from g, c where lat between y - 15 and y + 15 and long between x - 15 and x + 15")
 def geo_square(s: SparkSession, d: str) -> DataFrame:
-    return views.geo(s, d).filter(en.in_square(F.col("lat"), F.col("long"), (0.0, 0.0), 0.2))
+    p = cut(views.places(s, d), "places")
+    return p.filter(en.in_square(F.col("lat"), F.col("long"), _middle(p), 30.0))
+
+
+@query("select property_id, lat, long from itemsgeomap where lat is not null and long is not null and not isnan(lat) and not isnan(long)")
+def clean_places(s: SparkSession, d: str) -> DataFrame:
+    return en.clean_places(table(s, d, "itemsgeomap")).select("property_id", "lat", "long")
 
 
 _SIMPLE = """b as (select min(lat) a, max(lat) b, min(long) c, max(long) d from g), grid as (select i * 4 + j cell, round(a + (b - a) / 3 * i - 0.01, 9) lat_lo, round(a + (b - a) / 3 * (i + 1) + 0.01, 9) lat_hi,
@@ -437,17 +512,17 @@ grid as (select i * 4 + j cell, round(lo - 0.01, 9) lat_lo, round(hi + 0.01, 9)
 
 @query(f"with {_GEO}, {_SIMPLE} select * from grid")
 def geo_grid_simple(s: SparkSession, d: str) -> DataFrame:
-    return en.uniform_grid(views.geo(s, d), 3, 4, 0.01)
+    return en.uniform_grid(views.places(s, d), 3, 4, 0.01)
 
 
 @query(f"with {_GEO}, {_DENSE} select * from grid")
 def geo_grid_equidense(s: SparkSession, d: str) -> DataFrame:
-    return en.equidense_grid(views.geo(s, d), 3, 4, 0.01)
+    return en.equidense_grid(views.places(s, d), 3, 4, 0.01)
 
 
 @query(f"with {_GEO}, {_SIMPLE} select itemid, cell from g join grid on lat between lat_lo and lat_hi and long between long_lo and long_hi")
 def geo_cells(s: SparkSession, d: str) -> DataFrame:
-    places = views.geo(s, d)
+    places = cut(views.places(s, d), "places")
     return en.assign_cells(places, en.uniform_grid(places, 3, 4, 0.01)).select("itemid", "cell")
 
 
@@ -508,7 +583,7 @@ def als_rows(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_rows(s: SparkSession, d: str) -> DataFrame:
-    return mo.geo_clusters(views.geo(s, d), 8)
+    return mo.geo_clusters(cut(views.places(s, d), "places"), 8)
 
 
 @query()
@@ -527,11 +602,11 @@ def rf_rows(s: SparkSession, d: str) -> DataFrame:
     return apply(pairs).select("userid", "itemid", "rating", "prediction")
 
 
-@query()
+@query(f"with {OBS_SQL}, u as (select userid, row_number() over (order by userid, itemid) p from obs), i as (select itemid, row_number() over (order by {hashed_sql('userid', 'itemid')}, itemid) p from obs) select userid, itemid, 1.0::double rating from obs union all select userid, itemid, 0.0::double rating from u join i using (p)")
 def negatives_rows(s: SparkSession, d: str) -> DataFrame:
     return mo.negatives(views.obs(s, d))
 
 
-@query()
+@query(f"with {OBS_SQL}, l as (select userid, list_reverse(list(itemid order by ts desc, itemid desc)[1:200]) items from obs group by userid) select userid, cast(len(items) as int) n, array_to_string(items, ',') items from l")
 def sequence_rows(s: SparkSession, d: str) -> DataFrame:
     return mo.sequences(views.obs(s, d)).select("userid", F.size("items").alias("n"), F.array_join("items", ",").alias("items"))
