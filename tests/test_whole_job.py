@@ -132,4 +132,4 @@ def test_rows_without_a_time_come_last(spark):
     from quern.operators.observations import observations
 
     df = spark.createDataFrame([("u", "i", 1.0, None), ("u", "i", 2.0, 7), ("v", "i", 3.0, None)], "u string, i string, r double, t long")
-    assert {(r.userid, r.rating, r.t) for r in observations(df, "u", "i", "r", "t").collect()} == {("u", 2.0, 7), ("v", 3.0, None)}
+    assert {(r.userid, r.rating, r.ts) for r in observations(df, "u", "i", "r", "t").collect()} == {("u", 2.0, 7), ("v", 3.0, None)}
