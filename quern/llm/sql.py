@@ -26,6 +26,12 @@ p as (select x.i a, y.i b, count(*) n from b x join b y on x.u = y.u and x.i < y
 s as (select a itemid_a, b itemid_b, p.n n_ab, ma.n n_a, mb.n n_b, p.n * nn.n / (ma.n * mb.n) l from p join m ma on ma.i = a join m mb on mb.i = b, nn
   where p.n >= 0.6 * greatest(ma.n, mb.n) and p.n * nn.n / (ma.n * mb.n) >= 4)"""
 
+_ALL_BASKETS = """
+b as (select distinct userid u, itemid i from readable_ratings where trim(userid) <> '' and trim(itemid) <> ''),
+m as (select i, count(*) n from b group by i), nn as (select count(distinct u) n from b),
+p as (select x.i a, y.i b, count(*) n from b x join b y on x.u = y.u and x.i < y.i group by 1, 2 having count(*) >= 3)
+select a itemid_a, b itemid_b, p.n n_ab, ma.n n_a, mb.n n_b, round(p.n * nn.n / (ma.n * mb.n), 6) lift from p join m ma on ma.i = a join m mb on mb.i = b, nn where p.n >= 0.6 * greatest(ma.n, mb.n)"""
+
 _RANKS = """
 r as (select distinct recommender s, groupby_col g, item_col i, scores_col v from calc_dfs_and_combine_scores where scores_col is not null and not isnan(scores_col)),
 k as (select *, rank() over (partition by g, s order by v desc) + (count(*) over (partition by g, s, v) - 1) / 2.0 rk, count(*) over (partition by g, s) n from r),
@@ -56,6 +62,7 @@ who as (select userid, concat_ws('|', gender, age, case when regexp_matches(part
 select a.userid userid_a, b.userid userid_b from who a join who b on a.person = b.person and a.userid < b.userid""",
     "p3_found": f"with {_BASKETS} select itemid_a, itemid_b from s",
     "p3_incremental": f"with {_BASKETS} select itemid_a, itemid_b, n_ab, n_a, n_b, round(l, 6) lift from s",
+    "p3_all_baskets": f"with {_ALL_BASKETS}",
     "p4_found": "with " + _RANKS.format(missing="src.n + 1") + ", o as (select *, row_number() over (partition by g order by mr, i) p from a) select g groupby_col, i item_col from o where p <= 3",
     "p4_order": "with " + _RANKS.format(missing="(src.n + 1 + u.m) / 2.0") + " select g groupby_col, i item_col, round(mr, 6) mean_rank, sources from a",
     "p5_found": _side("item", "item_embeddings", "itemid") + " union all " + _side("user", "user_embeddings", "userid"),
