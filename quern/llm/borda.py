@@ -4,28 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.top_items import top_n_per_group
-from quern.operators.positions import with_positions
-
-
-def competition_ranks(scores: DataFrame) -> DataFrame:
-    """(g, s, i, rank, listed) from (g, s, i, score): mean rank of ties, 1 for the highest.
-
-    Equal scores are counted first, so a list of any length enters the sort as its
-    distinct values; the rank of a value is the running count before it plus the middle
-    of its own ties, summed over range partitions. ``listed`` is the list's length.
-    """
-    values = scores.groupBy("g", "s", "score").agg(F.count("*").alias("ties"))
-    placed = with_positions(values, ["g", "s"], [F.col("score").desc()], out="upto", weight="ties")
-    rank = F.col("upto") - (F.col("ties") - 1) / F.lit(2.0)
-    ranks = placed.select(F.col("g").alias("rg"), F.col("s").alias("rs"), F.col("score").alias("rv"), rank.alias("rank"))
-    # Grouping turns -0.0 into 0.0, so the join does not miss it.
-    same = (F.col("g") == F.col("rg")) & (F.col("s") == F.col("rs")) & (F.col("score") == F.col("rv"))
-    sizes = values.groupBy("g", "s").agg(F.sum("ties").alias("listed"))
-    return scores.join(ranks, same).select("g", "s", "i", "rank").join(sizes, ["g", "s"])
+from quern.operators.ranks import mean_ranks
 
 
 def borda(df: DataFrame, group: str, source: str, item: str, score: str, weights: Mapping[str, float] | None = None, missing: str = "middle") -> DataFrame:
@@ -48,7 +30,7 @@ def borda(df: DataFrame, group: str, source: str, item: str, score: str, weights
     rows = df.select(col(group).alias("g"), col(source).alias("s"), col(item).alias("i"), (col(score).cast("double") + 0.0).alias("score"))
     rows = rows.filter("g is not null and s is not null and i is not null and score is not null and not isnan(score)")
     rows = rows.groupBy("g", "s", "i").agg(F.max("score").alias("score"))
-    ranked = competition_ranks(rows)
+    ranked = mean_ranks(rows, ["g", "s"], "score", listed="listed")
     w = F.lit(1.0)
     if weights:
         w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("s")), F.lit(1.0))
@@ -70,6 +52,11 @@ def borda(df: DataFrame, group: str, source: str, item: str, score: str, weights
 
 
 def borda_top(df: DataFrame, group: str, source: str, item: str, score: str, n: int, missing: str = "middle", weights: Mapping[str, float] | None = None) -> DataFrame:
-    """The first ``n`` items of every group, with mean_rank and position."""
+    """The first ``n`` items of every group, with mean_rank and position.
+
+    A row number with a bound is cut to n rows a group in every task before its shuffle, so a
+    group of any size arrives as n rows from each of them.
+    """
     points = borda(df, group, source, item, score, weights, missing)
-    return top_n_per_group(points, [group], [F.col("mean_rank").asc(), F.col(f"`{item}`").asc()], n)
+    order = Window.partitionBy(f"`{group}`").orderBy(F.col("mean_rank").asc(), F.col(f"`{item}`").asc())
+    return points.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)

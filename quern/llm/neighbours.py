@@ -2,10 +2,13 @@
 
 Centroids are fitted on a bounded sample and balanced by splitting large clusters;
 every vector is indexed. A graph over the centroids, small enough to send to each
-executor, finds the lists near a vector; vectors near a border are replicated to
-each list within a distance ratio (nearest neighbours) or within a distance that
-proves no pair is missed (threshold search). Long lists are cut into blocks, so a
-task holds at most two blocks whatever the skew.
+executor, finds the lists near a vector. Vectors near a border are replicated to the
+lists whose centroids lie within a distance ratio of the nearest one's, at most MOST;
+a probe searches the lists within a larger ratio, at most PROBES. Long lists are cut
+into blocks, so a task holds at most two blocks whatever the skew.
+
+The number of lists grows with the table up to MAX_LISTS (4 million vectors); beyond
+that the lists grow instead, and with them the work per vector.
 """
 
 from __future__ import annotations
@@ -18,16 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.hashing import hashed
 from quern.llm.vectors import lists, matrix, unit, usable, vector_key
+from quern.operators.similarity import top_vectors
 from quern.scratch import cut
 
-SAMPLE = 50_000  # vectors the centroids are fitted on
-LIST_SIZE = 256  # vectors aimed at in a list
-MAX_LISTS = 8_192  # centroids and their graph stay under 4 MB at 64 dimensions
+SAMPLE = 50_000  # vectors the centroids are fitted on, or PER_LIST a list where that is more
+PER_LIST = 4
+LIST_SIZE = 128  # vectors aimed at in a list
+MAX_LISTS = 32_768  # centroids and their graph stay under 12 MB at 64 dimensions
+RATIO, MOST = 0.05, 4  # of the lists that hold a vector
+PROBE_RATIO, PROBES = 0.2, 16  # of the lists that a probe for its nearest vectors searches
 BLOCK = 4_096  # vectors of a list compared in one task
 DEGREE = 16
 BEAM = 32
-CROWD = 3
+WIDE = 10  # the nearest candidates that are expanded in any case
 MEMBER, PROBE = 1, 2
 
 
@@ -106,13 +114,11 @@ def centroid_graph(c: np.ndarray, seed: int = 7) -> Graph:
     return Graph(c, edges, np.array(entries, np.int32))
 
 
-def graph_search(g: Graph, x: np.ndarray, slack: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search for each row of x: (ids, distances), nearest first.
+def graph_search(g: Graph, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search for each row of x: (ids, distances) of BEAM centroids, nearest first.
 
-    Candidates are expanded while they lie within ``best * (1 + ratio) + slack`` or are
-    among the first four. Where a whole beam lies inside that bound, or with ``slack``
-    already CROWD lists do (a vector about as far from many centroids, which a greedy
-    walk may overlook), all centroids are compared instead.
+    Candidates are expanded while they lie within (1 + ratio) of the nearest distance or
+    are among the first WIDE.
     """
     n, k = len(x), len(g.centre)
     width = min(k, BEAM)
@@ -128,7 +134,7 @@ def graph_search(g: Graph, x: np.ndarray, slack: float, ratio: float) -> tuple[n
     ids, d = g.entries[order], np.take_along_axis(d, order, 1)
     done = np.zeros(ids.shape, bool)
     for _ in range(4 * BEAM):
-        open_ = ~done & ((d <= d[:, :1] * (1 + ratio) + slack) | (np.arange(width) < 4))
+        open_ = ~done & ((d <= d[:, :1] * (1 + ratio)) | (np.arange(width) < WIDE))
         act = np.flatnonzero(open_.any(axis=1))
         if not len(act):
             break
@@ -144,48 +150,39 @@ def graph_search(g: Graph, x: np.ndarray, slack: float, ratio: float) -> tuple[n
         all_done = np.concatenate([done[act], np.zeros(new.shape, bool)], axis=1)
         order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
         ids[act], d[act], done[act] = (np.take_along_axis(a, order, 1) for a in (all_ids, all_d, all_done))
-    sure = min(CROWD, width) if slack else width
-    full = np.flatnonzero(d[:, sure - 1] <= d[:, 0] * (1 + ratio) + slack) if width < k else np.empty(0, np.int64)
-    if len(full):
-        wide = np.full((n, k), np.inf, np.float32)
-        wide_ids = np.tile(np.arange(k, dtype=np.int32), (n, 1))
-        wide[:, :width], wide_ids[:, :width] = d, ids
-        exact = np.sqrt(np.maximum(own[full] + norm - 2 * (x[full] @ g.centre.T), 0))
-        order = np.argsort(exact, axis=1)
-        wide_ids[full], wide[full] = order, np.take_along_axis(exact, order, 1)
-        return wide_ids, wide
     return ids, d
 
 
-def placer(g: Graph, dim: int, slack: float, ratio: float):
-    """mapInArrow: (id, vec) to (id, vec as a unit vector, lists, nearest first)."""
+def placer(g: Graph, dim: int, ratio: float, most: int, probe_ratio: float, probes: int):
+    """mapInArrow: (id, vec) to (id, vec as a unit vector, near, held): lists, nearest first, of which the first ``held`` hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 1024):
                 part = batch.slice(s, 1024)
                 x = unit(matrix(part.column("vec"), dim)).astype(np.float32)
-                ids, d = graph_search(g, x, slack, ratio)
-                inside = d <= d[:, :1] * (1 + ratio) + slack
-                inside[:, 0] = True
+                ids, d = graph_search(g, x, max(ratio, probe_ratio))
+                at = np.arange(ids.shape[1])
+                held = ((d <= d[:, :1] * (1 + ratio)) & (at < most)).sum(1).clip(1)
+                inside = ((d <= d[:, :1] * (1 + probe_ratio)) & (at < probes)) | (at < held[:, None])
                 ends = np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32)
                 near = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[inside].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists(x), near], names=["id", "vec", "near"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists(x), near, pa.array(held.astype(np.int32))], names=["id", "vec", "near", "held"])
 
     return run
 
 
 @dataclass
 class Index:
-    """Placed vectors (id, vec, near) and the number of blocks of each list."""
+    """Placed vectors (id, vec, near, held) and the number of blocks of each list."""
 
     placed: DataFrame
     blocks: DataFrame
     dim: int
 
 
-def build_index(rows: DataFrame, reps: DataFrame, dim: int, slack: float, ratio: float, list_size: int = LIST_SIZE, sample: int = SAMPLE) -> Index:
-    """Index (id, vec) rows ``reps``: every one is placed; centroids are fitted on at most ``sample`` of ``rows``.
+def build_index(rows: DataFrame, reps: DataFrame, dim: int, probe_ratio: float, probes: int, ratio: float = RATIO, most: int = MOST, list_size: int = LIST_SIZE) -> Index:
+    """Index (id, vec) rows ``reps``: every one is placed; centroids are fitted on a bounded sample of ``rows``.
 
     ``rows`` holds the vectors before equal ones are merged, so that no pass over the
     merged ones has to be stored besides the placed table.
@@ -193,13 +190,14 @@ def build_index(rows: DataFrame, reps: DataFrame, dim: int, slack: float, ratio:
     spark = rows.sparkSession
     n = rows.count()
     k = int(min(MAX_LISTS, max(1, -(-n // list_size))))
+    sample = max(SAMPLE, PER_LIST * k)
     share = min(1.0, 1.2 * sample / max(n, 1))
     drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
     found = drawn.select("vec").limit(sample).toArrow()
     x = unit(matrix(found.column("vec").combine_chunks(), dim)).astype(np.float32) if found.num_rows else np.ones((1, dim), np.float32)
     g = centroid_graph(balanced_centroids(x, k))
-    placed = cut(reps.select("id", "vec").mapInArrow(placer(g, dim, slack, ratio), "id string, vec array<float>, near array<int>"), "placed")
-    sizes = placed.groupBy(F.element_at("near", 1).alias("list")).count()
+    placed = cut(reps.select("id", "vec").mapInArrow(placer(g, dim, ratio, most, probe_ratio, probes), "id string, vec array<float>, near array<int>, held int"), "placed")
+    sizes = placed.select(F.explode(F.slice("near", 1, F.col("held"))).alias("list")).groupBy("list").count()
     many = sizes.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb")).filter("nb > 1").collect()  # at most MAX_LISTS
     blocks = spark.createDataFrame([tuple(r) for r in many], "list int, nb int")
     return Index(placed, blocks, dim)
@@ -237,16 +235,17 @@ def comparer(dim: int, least: float | None, k: int | None):
     return run
 
 
-def cells(index: Index, replicate: bool, asked: Column | None = None) -> DataFrame:
+def cells(index: Index, asked: Column | None = None) -> DataFrame:
     """Rows (list, mb, pb, role, id, vec): every probe meets every member block of its lists.
 
-    Members sit in their nearest list, or with ``replicate`` in each of their lists; all
-    rows, or those ``asked``, are probes of each. A list of one block takes a row that is
-    both only once.
+    A row is a member of the first ``held`` of its lists and, if ``asked``, a probe of all of
+    them; without ``asked`` every row is a probe of the lists that hold it. A list of one
+    block takes a row that is both only once.
     """
-    rows = index.placed.select("id", "vec", (asked if asked is not None else F.lit(True)).alias("ask"), F.posexplode("near").alias("at", "list"))
+    near = F.slice("near", 1, F.col("held")) if asked is None else F.when(asked, F.col("near")).otherwise(F.slice("near", 1, F.col("held")))
+    rows = index.placed.select("id", "vec", "held", (asked if asked is not None else F.lit(True)).alias("ask"), F.posexplode(near).alias("at", "list"))
     rows = rows.join(F.broadcast(index.blocks), "list", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("member", F.lit(replicate) | (F.col("at") == 0))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("member", F.col("at") < F.col("held"))
     every = F.sequence(F.lit(0), F.col("nb") - 1)
     cell = lambda mb, pb, role: F.struct(mb.alias("mb"), pb.alias("pb"), role.alias("role"))
     none = F.array().cast("array<struct<mb:int,pb:int,role:int>>")
@@ -279,18 +278,16 @@ def _plain(col: str) -> Column:
 def similar_pairs(df: DataFrame, id_col: str, vec_col: str, least: float, dim: int = 64) -> DataFrame:
     """(id_a, id_b, cosine): different ids whose usable vectors have at least that cosine, the smaller first.
 
-    Of two vectors within distance r of one another, the one farther from its own
-    centroid lies within r of its nearest distance from the other's centroid. So a member
-    kept in its nearest list and a probe sent to every list within (nearest + r) meet for
-    each pair, and only the lists the graph search overlooks can lose one. Null, empty,
-    short, zero and NaN-holding vectors and null ids are left out; repeated rows count
-    once; an id with several vectors is paired by any of them, with the highest cosine.
+    Each vector is held by the lists within RATIO of its nearest centroid's distance, at most MOST, and meets
+    the others there; two vectors meet if they share a list, which near ones almost always do (the README gives
+    the measured recall). Every pair is compared exactly. Null, empty, short, zero and NaN-holding vectors and
+    null ids are left out; repeated rows count once; an id with several vectors is paired by any of them, with
+    the highest cosine.
     """
     rows = usable(df, id_col, vec_col, dim)
     reps, same = classes(rows)
-    r = float(np.sqrt(max(0.0, 2 - 2 * least)))
-    index = build_index(rows, reps, dim, slack=r, ratio=0.0)
-    raw = cells(index, replicate=False).groupBy("list", "mb", "pb").applyInArrow(comparer(dim, least, None), "a string, b string, cosine double")
+    index = build_index(rows, reps, dim, probe_ratio=0.0, probes=1)
+    raw = cells(index).groupBy("list", "mb", "pb").applyInArrow(comparer(dim, least, None), "a string, b string, cosine double")
     pairs = raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     x, y = same.select(F.col("id").alias("a"), F.col("member").alias("x")), same.select(F.col("id").alias("b"), F.col("member").alias("y"))
     between = pairs.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", _plain("a")).alias("x"), F.coalesce("y", _plain("b")).alias("y"), "cosine")
@@ -299,27 +296,47 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, least: float, dim: i
     return both.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
 
 
-def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dim: int = 64, every: int = 20, ratio: float = 0.25) -> DataFrame:
+def is_asked(key: str | Column, every: int) -> Column:
+    """Whether an id is a query: the number that its text hashes to is divisible by ``every``."""
+    return F.pmod(hashed(key), F.lit(every)) == 0
+
+
+def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dim: int = 64, every: int = 20) -> DataFrame:
     """(id, neighbour, cosine, place): the k most similar vectors of every ``every``-th id.
 
     Queries are the ids whose hash is divisible by ``every`` (1: all), against all rows.
-    Border vectors are replicated to, and queries sent to, each list within (1 + ratio)
-    of the nearest centroid's distance. Ids of equal vectors come first, at cosine 1;
-    of each class of equal vectors the k + 1 smallest ids can be named. Ties go by id.
+    Border vectors are replicated (see similar_pairs); a query searches the lists within
+    PROBE_RATIO of the nearest centroid's distance, at most PROBES. Ids of equal vectors come
+    first, at cosine 1; of each class of equal vectors the k + 1 smallest ids can be named.
+    Ties go by id. An id with several vectors is asked with each of them and found by any,
+    with the highest cosine.
     """
-    rows = usable(df, id_col, vec_col, dim).groupBy("id").agg(F.min("vec").alias("vec"))
+    rows = usable(df, id_col, vec_col, dim)
     reps, same = classes(rows)
-    index = build_index(rows, reps, dim, slack=0.0, ratio=ratio)
-    asked = lambda c: F.pmod(F.xxhash64(c), F.lit(every)) == 0
-    wanted = same.filter(asked("member"))
-    index.placed = index.placed.join(wanted.select("id", F.lit(True).alias("w")).distinct(), "id", "left").withColumn("ask", F.coalesce("w", asked(_plain("id")))).drop("w")
-    raw = cells(index, replicate=True, asked=F.col("ask")).groupBy("list", "mb", "pb").applyInArrow(comparer(dim, None, k), "a string, b string, cosine double").distinct()
+    index = build_index(rows, reps, dim, probe_ratio=PROBE_RATIO, probes=PROBES)
+    wanted = same.filter(is_asked("member", every))
+    index.placed = index.placed.join(wanted.select("id", F.lit(True).alias("w")).distinct(), "id", "left").withColumn("ask", F.coalesce("w", is_asked(_plain("id"), every))).drop("w")
+    raw = cells(index, asked=F.col("ask")).groupBy("list", "mb", "pb").applyInArrow(comparer(dim, None, k), "a string, b string, cosine double").distinct()
     best = lambda key: Window.partitionBy(key).orderBy(F.col("cosine").desc(), F.col("b").asc())
     top = raw.withColumn("p", F.row_number().over(best("a"))).filter(F.col("p") <= k).select("a", "b", "cosine")
     first = same.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("member"))).filter(F.col("p") <= k + 1).select("id", "member")
     around = top.join(first, F.col("b") == F.col("id"), "left").select("a", F.coalesce("member", _plain("b")).alias("b"), "cosine")
     own = first.select(F.col("id").alias("a"), F.col("member").alias("b"), F.lit(1.0).alias("cosine"))
-    alone = index.placed.filter(asked(_plain("id"))).select(_plain("id").alias("q"), F.col("id").alias("a"))
+    alone = index.placed.filter(is_asked(_plain("id"), every)).select(_plain("id").alias("q"), F.col("id").alias("a"))
     ids = wanted.select(F.col("member").alias("q"), F.col("id").alias("a")).unionByName(alone).distinct()
-    named = ids.join(around.unionByName(own), "a").filter("q <> b").select(F.col("q").alias("id"), "b", "cosine")
+    named = ids.join(around.unionByName(own), "a").filter("q <> b").groupBy(F.col("q").alias("id"), "b").agg(F.max("cosine").alias("cosine"))
     return named.withColumn("place", F.row_number().over(best("id"))).filter(F.col("place") <= k).select("id", F.col("b").alias("neighbour"), "cosine", "place")
+
+
+def measured_recall(df: DataFrame, id_col: str, vec_col: str, k: int = 10, dim: int = 64, every: int = 20) -> DataFrame:
+    """(recall): the share of the true k best cosines of every query that nearest_vectors reaches.
+
+    The queries are compared with all rows in blocks. Equal cosines may be swapped, so places are
+    compared by cosine and not by id.
+    """
+    rows = usable(df, id_col, vec_col, dim).select("id", F.col("vec").alias("vec")).groupBy("id").agg(F.min("vec").alias("vec"))
+    true = top_vectors(rows, k, "cosine", sources=rows.filter(is_asked("id", every)), digits=6)
+    least = true.groupBy(F.col("source").alias("id")).agg(F.min("prediction").alias("least"), F.count("*").alias("n"))
+    found = nearest_vectors(df, id_col, vec_col, k, dim, every)
+    hits = found.join(least, "id").filter(F.col("cosine") >= F.col("least") - 2e-6).groupBy("id").agg(F.count("*").alias("hit"))
+    return least.join(hits, "id", "left").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.sum("n")).alias("recall"))

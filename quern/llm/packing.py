@@ -10,6 +10,7 @@ so every worker fills its windows alone.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.positions import with_positions
+from quern.scratch import cut
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"  # of the public vocabularies, or the path of another file
 #: Pre-splitting of public byte-level BPE vocabularies: contractions, letters, digits, other marks, spaces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TINY = 32
@@ -39,13 +41,20 @@ def _counter(raw: bytes, pattern: str):
     return run
 
 
+def public_path(name: str) -> str:
+    """Where the installed public vocabularies keep a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(id, tokens, mark): each row's whole text in tokens; mark is a hash of the text.
 
     Null and empty texts have 0 tokens. The vocabulary file (under 2 MB) is read on the
     driver and sent along.
     """
-    with open(vocabulary, "rb") as f:
+    with open(vocabulary if os.path.exists(vocabulary) else public_path(vocabulary), "rb") as f:
         raw = f.read()
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("mark"))
     return rows.mapInArrow(_counter(raw, pattern), f"id {df.schema[id_col].dataType.simpleString()}, tokens long, mark long")
@@ -63,9 +72,9 @@ def pack(sizes: DataFrame, capacity: int, size_col: str = "tokens", tiny: int =
     stride = capacity - limit + 1
     count = F.ceil(F.col("tokens") / F.lit(float(capacity))).cast("long")
     rows = sizes.select("id", F.col(size_col).cast("long").alias("tokens"), "mark").filter("tokens > 0")
-    cut = rows.withColumn("pieces", count).withColumn("piece", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pieces"))))
+    pieces = rows.withColumn("pieces", count).withColumn("piece", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pieces"))))
     first = (F.col("piece") - 1) * capacity
-    parts = cut.select("id", "mark", "piece", "pieces", first.alias("first"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - first).alias("tokens"))
+    parts = pieces.select("id", "mark", "piece", "pieces", first.alias("first"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - first).alias("tokens"))
     parts = parts.withColumn("class", F.when(F.col("tokens") <= limit, F.lit(0)).otherwise(F.floor(F.lit(capacity) / F.col("tokens"))).cast("int"))
     parts = parts.withColumn("step", F.when(F.col("class") == 0, F.col("tokens")).otherwise(F.lit(1).cast("long")))
     placed = with_positions(parts, ["class"], [F.col("id").asc(), F.col("mark").asc(), F.col("piece").asc()], out="upto", weight="step")
@@ -74,8 +83,8 @@ def pack(sizes: DataFrame, capacity: int, size_col: str = "tokens", tiny: int =
 
 
 def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Token windows of the whole texts; see token_counts and pack."""
-    return pack(token_counts(df, id_col, text_col, vocabulary), capacity)
+    """Token windows of the whole texts; see token_counts and pack. The counts are stored, so no text is tokenised twice."""
+    return pack(cut(token_counts(df, id_col, text_col, vocabulary), "tokens"), capacity)
 
 
 def large_texts(windows: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.person_splits(table(spark, d, "readable_ratings"), table(spark, d, "readable_users")).select("userid", "itemid", "rating", "first_timestamp", "component", "split")
 
 
+def p2_related(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews in parts that neither an author nor a copied body crosses."""
+    return splits.related_texts(table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     scores = pairs.item_pairs(table(spark, d, "readable_ratings"), min_pair=5).scores(min_pair=5, min_overlap=0.6, min_lift=4.0)
     return scores.select(F.col("item_a").alias("itemid_a"), F.col("item_b").alias("itemid_b"))
@@ -70,6 +75,15 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether p5_neighbours finds nine of ten true neighbours of each side, by comparing its queries with all rows."""
+    out = None
+    for side, t, key in SIDES:
+        found = neighbours.measured_recall(table(spark, d, t), key, t, k=10).select(F.lit(side).alias("side"), (F.col("recall") >= 0.9).alias("good"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     return clusters.item_groups(table(spark, d, "item_embeddings"), table(spark, d, "clusterrecommender"))
 
@@ -111,4 +125,4 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_splits, p3_found, p3_incremental, p3_all_baskets, p4_found, p4_order, p5_found, p5_neighbours, p7_found, p7_groups, p8_found, p8_windows, p9_found, p9_kept, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_splits, p2_related, p3_found, p3_incremental, p3_all_baskets, p4_found, p4_order, p5_found, p5_neighbours, p5_recall, p7_found, p7_groups, p8_found, p8_windows, p9_found, p9_kept, p10_found, p10_sentences)}

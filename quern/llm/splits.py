@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.hashing import unit_hash
 from quern.functions.text import filled, folded
 from quern.scratch import cut, release
 
@@ -63,11 +64,7 @@ def rendezvous(key: Column, weights: Mapping[str, float], seed: int = 7) -> Colu
 
     Raising one split's weight moves keys only into that split.
     """
-    draws = []
-    for name, w in weights.items():
-        h = F.xxhash64(key, F.lit(name), F.lit(seed))
-        u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
-        draws.append(F.struct((F.lit(float(w)) / -F.log(u)).alias("score"), F.lit(name).alias("name")))
+    draws = [F.struct((F.lit(float(w)) / -F.log(unit_hash(key, F.lit(name), seed=seed))).alias("score"), F.lit(name).alias("name")) for name, w in weights.items()]
     return F.greatest(*draws)["name"] if len(draws) > 1 else F.lit(next(iter(weights)))
 
 
@@ -83,7 +80,7 @@ def grouped_splits(df: DataFrame, id_col: str, keys: Sequence[str], weights: Map
     own = F.col(f"`{id_col}`")
     joined = df.join(found, own == F.col("__q_node"), "left")
     comp = F.coalesce(F.col("__q_comp"), own)
-    loose = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string")
+    loose = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string")  # of rows that are nobody's
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], comp.alias(component), rendezvous(F.coalesce(comp.cast("string"), loose), weights, seed).alias(split))
 
 
@@ -105,8 +102,8 @@ def person_keys(userids: DataFrame, users: DataFrame) -> DataFrame:
         F.substring(F.concat(part(1), part(4)), 1, 1).alias("gender"),
         F.concat(part(2), part(3)).try_cast("int").alias("age"),
         part(5).alias("occ"),
-        F.lpad(F.replace(part(6), F.lit(" "), F.lit("")), 7, "0").alias("zip"),
-    )
+        F.replace(part(6), F.lit(" "), F.lit("")).alias("zip"),
+    ).withColumn("zip", F.when(F.char_length("zip") < 7, F.lpad("zip", 7, "0")).otherwise(F.col("zip")))
     names = users.filter("occupation is not null and occupation_name is not null").select(folded("occupation_name").alias("occ"), F.col("occupation").cast("string").alias("code")).groupBy("occ").agg(F.min("code").alias("code"))
     code = F.when(F.col("occ").rlike(r"^\d+$"), F.coalesce(F.col("occ").try_cast("int").cast("string"), "occ")).otherwise(F.coalesce("code", "occ"))
     person = F.when(F.col("gender") != "", F.concat_ws("|", "gender", F.col("age").cast("string"), code, "zip"))
@@ -121,9 +118,23 @@ def same_person_pairs(ratings: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def person_splits(ratings: DataFrame, users: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 7) -> DataFrame:
-    """Every row of the ratings with its person's component and split."""
+    """Every row of the ratings with its person's component and split.
+
+    Rows of a blank userid are nobody's: their component is null and their itemid and time choose the split.
+    """
     weights = weights or {"train": 0.8, "validation": 0.1, "test": 0.1}
     found = components(links(person_keys(ratings, users), "userid", ["person"])).select(F.col("node").alias("userid"), F.col("component").alias("__q_comp"))
     comp = F.when(filled("userid"), F.coalesce(F.col("__q_comp"), F.col("userid")))
-    loose = F.xxhash64(*[F.col(c) for c in ratings.columns]).cast("string")
+    loose = F.concat_ws("|", "itemid", F.col("first_timestamp").cast("string"))
     return ratings.join(found, "userid", "left").select(*ratings.columns, comp.alias("component"), rendezvous(F.coalesce(comp, loose), weights, seed).alias("split"))
+
+
+def related_texts(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = 7) -> DataFrame:
+    """(doc_id, component, split) of documents; those by one author or with the same body never part, directly or through others.
+
+    Blank authors and blank bodies relate nothing. Bodies meet by 128 hashed bits.
+    """
+    weights = weights or {"train": 0.8, "validation": 0.1, "test": 0.1}
+    body = F.when(filled("text"), F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64("text", F.lit(1)))))
+    rows = docs.filter("doc_id is not null").select("doc_id", F.when(filled("userid"), F.col("userid")).alias("author"), body.alias("body"))
+    return grouped_splits(rows, "doc_id", ["author", "body"], weights, seed).select("doc_id", "component", "split")
