@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD = 500_000  # units of a suffix array
-EVAL_BYTES = 16 << 20  # evaluation text searched for in one pass
+EVAL_BYTES = 64 << 20  # evaluation text searched for in one pass
+WINDOWS = 65_536  # windows looked up together
 UNSPACED = ("zh", "ja")
 
 
@@ -28,7 +29,7 @@ def fold(text: str) -> str:
     """Tags and entities resolved, invisible marks dropped, compatibility composed, case folded."""
     import regex
 
-    text = regex.sub(r"</?[A-Za-z][^<>]{0,200}>", " ", text)
+    text = regex.sub(r"</?[A-Za-z][^<>]*>", " ", text)
     if "&" in text:
         text = html.unescape(text)
     text = regex.sub(r"\p{Cf}+", "", unicodedata.normalize("NFKC", text))
@@ -60,13 +61,12 @@ def suffix_array(units: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def search(units: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the range [from, to) of suffixes that begin with it."""
-    length = windows.shape[1]
+def search(units: np.ndarray, order: np.ndarray, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window text[start : start + length] the range [from, to) of suffixes that begin with it."""
     padded = np.concatenate([units, np.full(length, -1, units.dtype)])
     span = np.arange(length)
 
-    def bound(strict: bool) -> np.ndarray:
+    def bound(windows: np.ndarray, strict: bool) -> np.ndarray:
         lo, hi = np.zeros(len(windows), np.int64), np.full(len(windows), len(order), np.int64)
         while (lo < hi).any():
             mid = (lo + hi) // 2
@@ -79,47 +79,54 @@ def search(units: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[n
             lo, hi = np.where(go & less, mid + 1, lo), np.where(go & ~less, mid, hi)
         return lo
 
-    return bound(True), bound(False)
+    low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    for s in range(0, len(starts), WINDOWS):
+        windows = text[starts[s : s + WINDOWS, None] + span]
+        low[s : s + WINDOWS], high[s : s + WINDOWS] = bound(windows, True), bound(windows, False)
+    return low, high
 
 
 class Probe:
-    """Evaluation texts of one kind of unit: vocabulary and all windows."""
+    """Evaluation texts of one kind of unit: vocabulary, coded text and the starts of all windows."""
 
     def __init__(self, texts: list[tuple[int, list[str]]], length: int) -> None:
         self.length, self.codes = length, {}
-        rows, owner, place = [], [], []
+        text, starts, owner, place = [], [], [], []
         for key, units in texts:
-            coded = [self.codes.setdefault(u, len(self.codes) + 1) for u in units]
-            for i in range(len(coded) - length + 1):
-                rows.append(coded[i : i + length])
-                owner.append(key)
-                place.append(i)
-        self.windows = np.array(rows, np.int32).reshape(-1, length)
-        self.owner, self.place = np.array(owner, np.int64), np.array(place, np.int64)
-
-    def runs(self, units: list[str]) -> list[list[int]]:
-        """Stretches of known units at least a window long."""
-        out, run = [], []
-        for u in units:
+            n = max(0, len(units) - length + 1)
+            starts.append(len(text) + np.arange(n))
+            owner.append(np.full(n, key, np.int64))
+            place.append(np.arange(n))
+            text.extend(self.codes.setdefault(u, len(self.codes) + 1) for u in units)
+        join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+        self.text, self.starts, self.owner, self.place = np.array(text, np.int32), join(starts), join(owner), join(place)
+
+    def runs(self, units: list[str]) -> list[tuple[int, list[int]]]:
+        """(place, codes) of the stretches of known units at least a window long."""
+        out, run, begin = [], [], 0
+        for i, u in enumerate(units):
             code = self.codes.get(u)
             if code is not None:
+                if not run:
+                    begin = i
                 run.append(code)
             else:
                 if len(run) >= self.length:
-                    out.append(run)
+                    out.append((begin, run))
                 run = []
         if len(run) >= self.length:
-            out.append(run)
+            out.append((begin, run))
         return out
 
-    def matches(self, runs: list[tuple[int, list[int]]]) -> list[tuple[int, int, int]]:
-        """(document index, eval key, longest match in units)."""
-        if not runs or not len(self.windows):
+    def matches(self, runs: list[tuple[int, int, list[int]]]) -> list[tuple[int, int, int, int, int]]:
+        """(document index, eval key, longest match in units, its place in the document and in the evaluation text)."""
+        if not runs or not len(self.starts):
             return []
-        units = np.concatenate([np.array([*r, 0], np.int32) for _, r in runs])
-        doc = np.concatenate([np.full(len(r) + 1, d, np.int64) for d, r in runs])
+        units = np.concatenate([np.array([*r, 0], np.int32) for _, _, r in runs])
+        doc = np.concatenate([np.full(len(r) + 1, d, np.int64) for d, _, r in runs])
+        spot = np.concatenate([np.arange(b, b + len(r) + 1) for _, b, r in runs])
         order = suffix_array(units, self.length)
-        lo, hi = search(units, order, self.windows)
+        lo, hi = search(units, order, self.text, self.starts, self.length)
         n = hi - lo
         which = np.repeat(np.arange(len(n)), n)
         if not len(which):
@@ -128,14 +135,15 @@ class Probe:
         at = order[lo[which] + offset]
         owner, place = self.owner[which], self.place[which]
         sort = np.lexsort((at, at - place, owner))
-        at, owner, diagonal = at[sort], owner[sort], (at - place)[sort]
+        at, owner, place = at[sort], owner[sort], place[sort]
+        diagonal = at - place
         start = np.concatenate([[True], (owner[1:] != owner[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)])
         first = np.flatnonzero(start)
         longest = np.diff(np.append(first, len(at))) + self.length - 1
-        best: dict[tuple[int, int], int] = {}
-        for d, o, k in zip(doc[at[first]].tolist(), owner[first].tolist(), longest.tolist()):
-            best[d, o] = max(best.get((d, o), 0), k)
-        return [(d, o, k) for (d, o), k in best.items()]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for d, o, k, x, y in zip(doc[at[first]].tolist(), owner[first].tolist(), longest.tolist(), spot[at[first]].tolist(), place[first].tolist()):
+            best[d, o] = max(best.get((d, o), (0, 0, 0)), (k, -x, -y))
+        return [(d, o, k, -x, -y) for (d, o), (k, x, y) in best.items()]
 
 
 def _finder(spaced: Probe, dense: Probe, dense_scripts: bool):
@@ -145,12 +153,13 @@ def _finder(spaced: Probe, dense: Probe, dense_scripts: bool):
         han = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
         ids: list[object] = []
         kind = None
-        held: list[list[tuple[int, list[int]]]] = [[], []]
+        held: list[list[tuple[int, int, list[int]]]] = [[], []]
         amount = 0
 
         def flush() -> pa.RecordBatch:
-            found = [(ids[d], o, k) for probe, runs in zip((spaced, dense), held) for d, o, k in probe.matches(runs)]
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32())], names=["doc_id", "eval_id", "longest"])
+            found = [(ids[m[0]], *m[1:]) for probe, runs in zip((spaced, dense), held) for m in probe.matches(runs)]
+            kinds = (kind, pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=["doc_id", "eval_id", "longest", "doc_place", "eval_place"])
 
         for batch in batches:
             kind = batch.column("doc_id").type
@@ -162,8 +171,8 @@ def _finder(spaced: Probe, dense: Probe, dense_scripts: bool):
                 for i, (probe, units) in enumerate(((spaced, words), (dense, characters))):
                     if i == 1 and dense_scripts and not han.search(folded):
                         continue
-                    for r in probe.runs(units(folded)) if len(probe.windows) else ():
-                        held[i].append((len(ids), r))
+                    for begin, r in probe.runs(units(folded)) if len(probe.starts) else ():
+                        held[i].append((len(ids), begin, r))
                         amount += len(r)
                         some = True
                 if some:
@@ -178,11 +187,12 @@ def _finder(spaced: Probe, dense: Probe, dense_scripts: bool):
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, min_chars: int = 20) -> DataFrame:
-    """(doc_id, eval_id, longest): documents that share a passage with an evaluation text.
+    """(doc_id, eval_id, longest, doc_place, eval_place): documents that share a passage with an evaluation text.
 
     ``docs`` (doc_id, text), ``items`` (eval_id, lang, text). A passage is at least
     ``min_words`` consecutive words or, for items in zh and ja, ``min_chars`` consecutive
-    letters or digits; longest is its greatest length in these units. Null and empty
+    letters or digits; longest is its greatest length in these units, the places are the numbers of
+    units before it (of equally long ones, the first). Null and empty
     texts match nothing, items shorter than a window neither; repeated rows count once;
     whole texts of any length are searched.
     """
@@ -199,9 +209,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_words: int = 12, min_chars
         dense = Probe(dense_units, min_chars)
         scripts = _needs_han(dense_units, min_chars)
         kind = docs.schema["doc_id"].dataType.simpleString()
-        found = docs.mapInArrow(_finder(spaced, dense, scripts), f"doc_id {kind}, eval_id long, longest int")
+        found = docs.mapInArrow(_finder(spaced, dense, scripts), f"doc_id {kind}, eval_id long, longest int, doc_place int, eval_place int")
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "eval_id").agg(F.max("longest").alias("longest"))
+    best = F.max(F.struct("longest", (-F.col("doc_place")).alias("d"), (-F.col("eval_place")).alias("e"))).alias("b")
+    return out.groupBy("doc_id", "eval_id").agg(best).select("doc_id", "eval_id", "b.longest", (-F.col("b.d")).alias("doc_place"), (-F.col("b.e")).alias("eval_place"))
 
 
 def _needs_han(texts: list[tuple[int, list[str]]], length: int) -> bool:

@@ -110,6 +110,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "eval_id")
 
 
+def p9_places(spark: SparkSession, d: str) -> DataFrame:
+    """The longest match of every leak and where it stands in both texts."""
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     """The documents without any leaked passage."""
     docs = table(spark, d, "documents")
@@ -125,4 +130,4 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_splits, p2_related, p3_found, p3_incremental, p3_all_baskets, p4_found, p4_order, p5_found, p5_neighbours, p5_recall, p7_found, p7_groups, p8_found, p8_windows, p9_found, p9_kept, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_splits, p2_related, p3_found, p3_incremental, p3_all_baskets, p4_found, p4_order, p5_found, p5_neighbours, p5_recall, p7_found, p7_groups, p8_found, p8_windows, p9_found, p9_places, p9_kept, p10_found, p10_sentences)}

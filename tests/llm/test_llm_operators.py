@@ -179,8 +179,8 @@ def test_leaks(spark):
     words = passage.split()
     docs = [(1, "X <b>ONE</b>, two\nthree four *five* six seven eight nine ten: eleven twelve end"), (2, " ".join(words[:11]) + " other " + " ".join(words[11:])), (3, "前。あいうえお、かきくけこ さしすせそ「たちつてと」後"), (4, "あいうえおかきくけこさしすせそたちつて 以上"), (5, None), (6, ""), (7, "filler " * 20_000 + passage), (7, "filler " * 20_000 + passage)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {(r.doc_id, r.eval_id): r.longest for r in find_leaks(df, items).collect()}
-    assert got == {(1, 1): 12, (3, 2): 20, (7, 1): 14}
+    got = {(r.doc_id, r.eval_id): (r.longest, r.doc_place, r.eval_place) for r in find_leaks(df, items).collect()}
+    assert got == {(1, 1): (12, 1, 0), (3, 2): (20, 1, 0), (7, 1): (14, 20_000, 0)}
     assert without_leaks(df, find_leaks(df, items)).count() == 4
     assert find_leaks(df.limit(0), items).count() == 0 and find_leaks(df, items.limit(0)).count() == 0
 
