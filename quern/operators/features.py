@@ -32,6 +32,55 @@ def roles_table(df: DataFrame, **kw) -> DataFrame:
     return df.sparkSession.createDataFrame(sorted(infer_roles(df, **kw).items()), "name string, role string")
 
 
+def select_features(df: DataFrame, id_col: str, roles: Mapping[str, str], chosen: Sequence[str] | None = None) -> DataFrame:
+    """The id and the columns that have a role, restricted to ``chosen`` unless that is empty."""
+    return df.select(id_col, *[c for c in df.columns if c in roles and c != id_col and (not chosen or c in chosen)])
+
+
+def split_roles(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """A column that is both categorical and numeric is copied to <column>_num; the numeric names as they are then."""
+    both = [c for c in numeric if c in set(categorical)]
+    return df.withColumns({f"{c}_num": F.col(c) for c in both}), [f"{c}_num" if c in both else c for c in numeric]
+
+
+class Featuriser:
+    """Roles, bins and encodings learnt from items once and applied to any rows with the same columns."""
+
+    def __init__(self, id_col: str = "itemid", n_bins: int = 32, weights: float | Mapping[str, float] = 1.0, spillage: int = 0, mode: str = "binarise", unique_ratio: float = 0.05, n_unique: int = 20) -> None:
+        if mode not in ("binarise", "numeric", "gray"):
+            raise ValueError("mode must be 'binarise', 'numeric' or 'gray'")
+        self.id_col, self.n_bins, self.weights, self.spillage, self.mode = id_col, n_bins, weights, spillage, mode
+        self.unique_ratio, self.n_unique = unique_ratio, n_unique
+
+    def fit(self, items: DataFrame, chosen: Sequence[str] | None = None) -> Featuriser:
+        """Numbers get quantile edges, or their range with mode 'numeric'."""
+        own = items.select(*[c for c in items.columns if c != self.id_col and (not chosen or c in chosen)])
+        self.roles = infer_roles(own, self.unique_ratio, self.n_unique)
+        self.edges = {c: quantile_edges(items, c, self.n_bins) for c, r in self.roles.items() if r == "num"}
+        return self
+
+    def transform(self, items: DataFrame, identity: bool = False, normalise: bool = False) -> DataFrame:
+        """(itemid, feature, weight) rows; nulls are filled by type, identity adds 'id=item'."""
+        cat = [c for c, r in self.roles.items() if r != "num"]
+        filled = fill_by_type(items.select(self.id_col, *self.roles), self.id_col)
+        parts = [one_hot(filled, self.id_col, cat)] if cat else []
+        for c, edges in self.edges.items():
+            rows = filled.select(F.col(self.id_col).alias("itemid"), F.col(c).cast("double").alias("x"))
+            if self.mode == "numeric":
+                parts.append(rows.select("itemid", F.lit(c).alias("feature"), F.col("x").alias("weight")))
+                continue
+            n = max(1, len(edges) - 1)
+            binned = rows.select("itemid", bin_column(F.col("x"), edges, "min").alias("bin"))
+            if self.mode == "gray":
+                bits = F.explode(F.array(*[F.struct(F.lit(f"{c}=bit{j}").alias("feature"), b.cast("double").alias("weight")) for j, b in enumerate(gray_bits(F.col("bin"), n))])).alias("b")
+                parts.append(binned.select("itemid", bits).select("itemid", "b.feature", "b.weight").filter("weight <> 0"))
+            else:
+                parts.append(spill(binned, n, self.spillage).select("itemid", F.concat(F.lit(f"{c}="), F.col("feature_bin").cast("string")).alias("feature"), "weight"))
+        out = weigh(reduce(DataFrame.unionByName, parts), self.weights)
+        out = normalise_l1(out) if normalise else out
+        return add_identity(out) if identity else out
+
+
 def encode_labels(df: DataFrame, col: str, out: str = "code") -> DataFrame:
     """(value, code): 0-based position among the sorted distinct values, numbered in parallel."""
     values = df.select(F.col(col).alias("value")).filter("value is not null").distinct()

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -48,14 +48,41 @@ def als_factors(obs: DataFrame, rank: int = 32, iterations: int = 5, reg: float
     return named(model.userFactors, users), named(model.itemFactors, items)
 
 
-def bpr_factors(obs: DataFrame, rank: int = 16, epochs: int = 10, rate: float = 0.05, reg: float = 0.01, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+NEGATIVES = 10
+
+
+def _preferences(loss: str, seen: np.ndarray, u: np.ndarray, v: np.ndarray, b: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A negative item and a gradient for each of a user's items.
+
+    'bpr': one drawn item, the logistic gradient. 'warp': the first of NEGATIVES drawn ones that comes within 1 of
+    the positive, weighted by the rank that the number of draws suggests. 'hinge': the best scored of NEGATIVES.
+    """
+    pos = v[seen] @ u + b[seen]
+    if loss == "bpr":
+        j = rng.integers(0, len(v), len(seen))
+        return j, 1 / (1 + np.exp(np.clip(pos - v[j] @ u - b[j], -30, 30)))
+    drawn = rng.integers(0, len(v), (len(seen), NEGATIVES))
+    neg = v[drawn] @ u + b[drawn]
+    if loss == "warp":
+        near = neg > pos[:, None] - 1
+        first = near.argmax(axis=1)
+        weight = np.log1p((len(v) - 1) // (first + 1)) / np.log1p(len(v))
+        return drawn[np.arange(len(seen)), first], np.where(near.any(axis=1), weight, 0.0)
+    best = neg.argmax(axis=1)
+    return drawn[np.arange(len(seen)), best], (neg.max(axis=1) - pos + 1 > 0).astype(float)
+
+
+def bpr_factors(obs: DataFrame, rank: int = 16, epochs: int = 10, rate: float = 0.05, reg: float = 0.01, seed: int = 42, loss: str = "bpr", start: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Factors and item biases by pairwise ranking: SGD inside user blocks, items averaged per epoch.
 
-    Item factors go to every task and must stay under 256 MB (checked); user factors stay
+    ``loss`` is 'bpr', 'warp' or 'hinge'; a user's items are one step. Items known from ``start`` (item
+    factors of earlier batches) begin there. Item factors go to every task and must stay under 256 MB (checked); user factors stay
     with their block.
     """
     spark = obs.sparkSession
-    items = encode_labels(obs, "itemid").cache()
+    if loss not in ("bpr", "warp", "hinge"):
+        raise ValueError("loss must be 'bpr', 'warp' or 'hinge'")
+    items = cut(encode_labels(obs, "itemid"), "items")
     n = items.count()
     if n * (rank + 1) * 8 > FACTOR_BYTES:
         raise ValueError("item factors too large for block-wise SGD; use als_factors")
@@ -65,6 +92,10 @@ def bpr_factors(obs: DataFrame, rank: int = 16, epochs: int = 10, rate: float =
     rng = np.random.default_rng(seed)
     v, bias = rng.normal(0, 0.1, (n, rank)), np.zeros(n)
 
+    if start is not None:
+        for r in start.join(items, F.col("id") == F.col("value")).select("code", "bias", "factors").collect():  # n checked above
+            v[r.code], bias[r.code] = r.factors, r.bias or 0.0
+
     def epoch(number: int, v0: np.ndarray, b0: np.ndarray, last: bool):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             v, b = v0.copy(), b0.copy()
@@ -73,16 +104,17 @@ def bpr_factors(obs: DataFrame, rank: int = 16, epochs: int = 10, rate: float =
                 for name, seen in zip(f.userid, f.seen):
                     own = np.random.default_rng(abs(hash((seed, number, len(seen), int(seen[0])))) % 2**32)
                     u = np.zeros(rank) + v[seen].mean(0)
-                    for i, j in zip(seen, own.integers(0, len(v), len(seen))):
-                        x = u @ (v[i] - v[j]) + b[i] - b[j]
-                        g = 1 / (1 + np.exp(x))
-                        du, di = v[i] - v[j], u.copy()
-                        u += rate * (g * du - reg * u)
-                        v[i] += rate * (g * di - reg * v[i])
-                        v[j] += rate * (-g * di - reg * v[j])
-                        b[i] += rate * (g - reg * b[i])
-                        b[j] += rate * (-g - reg * b[j])
-                        done += 1
+                    seen = np.asarray(seen)
+                    for _ in range(1 if not last else 3):
+                        j, g = _preferences(loss, seen, u, v, b, own)
+                        gap = v[seen] - v[j]
+                        step = u.copy()
+                        u = u + rate * ((g[:, None] * gap).sum(0) - reg * len(seen) * u)
+                        np.add.at(v, seen, rate * (g[:, None] * step - reg * v[seen]))
+                        np.add.at(v, j, rate * (-g[:, None] * step - reg * v[j]))
+                        np.add.at(b, seen, rate * (g - reg * b[seen]))
+                        np.add.at(b, j, rate * (-g - reg * b[j]))
+                    done += len(seen)
                     if last:
                         yield pd.DataFrame({"id": [name], "bias": [0.0], "factors": [u.tolist()]})
             if not last and done:
@@ -199,22 +231,66 @@ def early_stop(step: Callable[[int], object], score: Callable[[object], float],
     return best, trail
 
 
+def _trial(objective: Callable[[dict], float], trial: dict) -> dict:
+    import time
+
+    begun = time.time()
+    try:
+        loss = float(objective(trial))
+    except Exception:  # a failed trial is the worst one
+        loss = 1.0
+    return trial | {"target_loss": loss, "time_taken": time.time() - begun}
+
+
 def random_search(space: Mapping[str, Sequence], objective: Callable[[dict], float], n: int = 20, seed: int = 42) -> pd.DataFrame:
     """One row per trial: parameters, loss (1 for a failed trial) and seconds, the best first."""
-    import time
+    rng = random.Random(seed)
+    rows = [_trial(objective, {k: rng.choice(list(v)) for k, v in space.items()}) for _ in range(n)]
+    return pd.DataFrame(rows).sort_values("target_loss", kind="stable").reset_index(drop=True)
+
+
+def guided_search(spark, space: Mapping[str, Sequence], objective: Callable[[dict], float], n: int = 20, random_share: float = 0.9, seed: int = 42, pool: int = 200) -> pd.DataFrame:
+    """Random trials first, then those of the greatest expected improvement under a forest fitted to the trials so far."""
+    from math import erf, exp, pi, sqrt
 
     rng = random.Random(seed)
-    rows = []
-    for _ in range(n):
-        trial = {k: rng.choice(list(v)) for k, v in space.items()}
-        begun = time.time()
-        try:
-            loss = float(objective(trial))
-        except Exception:  # a failed trial is the worst one
-            loss = 1.0
-        rows.append(trial | {"target_loss": loss, "time_taken": time.time() - begun})
+    draw = lambda: {k: rng.choice(list(v)) for k, v in space.items()}
+    place = lambda t: [float(list(space[k]).index(t[k])) for k in space]
+    rows: list[dict] = []
+    for i in range(n):
+        if i < max(2, int(n * random_share)):
+            trial = draw()
+        else:
+            known = spark.createDataFrame([(place(r), float(r["target_loss"])) for r in rows], "x array<double>, label double").withColumn("features", array_to_vector("x"))
+            forest = RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed).fit(known)
+            tried = [draw() for _ in range(pool)]
+            asked = spark.createDataFrame([(j, place(t)) for j, t in enumerate(tried)], "j int, x array<double>").withColumn("features", array_to_vector("x"))
+            votes = np.zeros((len(forest.trees), pool))
+            for t, tree in enumerate(forest.trees):
+                for r in tree.transform(asked).select("j", "prediction").collect():  # the pool
+                    votes[t, r.j] = r.prediction
+            best = min(r["target_loss"] for r in rows)
+            mean, sd = votes.mean(0), np.maximum(votes.std(0), 1e-9)
+            z = (best - mean) / sd
+            gain = [s * (a * (1 + erf(a / sqrt(2))) / 2 + exp(-a * a / 2) / sqrt(2 * pi)) for a, s in zip(z, sd)]
+            trial = tried[int(np.argmax(gain))]
+        rows.append(_trial(objective, trial))
     return pd.DataFrame(rows).sort_values("target_loss", kind="stable").reset_index(drop=True)
 
 
-def vector_column(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, vector_to_array(col))
+def best_ranks(test: DataFrame, seed: int = 42) -> DataFrame:
+    """(.., rank): a user's test items in drawn order from rank 0 on, the best that any ranking can do."""
+    from pyspark.sql import Window
+
+    return test.withColumn("rank", (F.row_number().over(Window.partitionBy("userid").orderBy(hashed("userid", "itemid", seed=seed), "itemid")) - 1).cast("bigint"))
+
+
+def chance_ranks(test: DataFrame, n_items: int, seed: int = 42) -> DataFrame:
+    """(.., rank): different ranks below n_items for a user's test items, spread evenly from a drawn start."""
+    from math import gcd
+
+    stride = max(1, int(0.618 * n_items))
+    while gcd(stride, n_items) != 1:
+        stride += 1
+    start = F.pmod(hashed("userid", seed=seed), F.lit(n_items))
+    return best_ranks(test, seed).withColumn("rank", F.pmod(start + F.col("rank") * stride, F.lit(n_items)))

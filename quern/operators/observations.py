@@ -160,6 +160,13 @@ def known_together(obs: DataFrame, items: DataFrame, key: str = "itemid") -> tup
     return obs.join(items.select(key).distinct(), key, "left_semi"), items.join(obs.select(key).distinct(), key, "left_semi")
 
 
+def cluster_items(items: DataFrame, label: int, column: str = "cluster_label") -> DataFrame:
+    """The items of one cluster or cell."""
+    if column not in items.columns:
+        raise ValueError(f"items have no column {column}")
+    return items.filter(F.col(column) == label)
+
+
 def items_of_user(obs: DataFrame, items: DataFrame, user: str) -> DataFrame:
     """The item rows of one user's distinct items."""
     return items.join(obs.filter(F.col("userid") == user).select("itemid").distinct(), "itemid", "left_semi")

@@ -137,7 +137,10 @@ def near_pairs(df: DataFrame, id_col: str, radius_m: float, lat: str = "lat", lo
     pairs = _location_pairs(points, levels, chord, radius_m)
     side = lambda s: places.select(F.col("id").alias(f"i{s}"), F.col("lat").alias(f"lat_{s}"), F.col("long").alias(f"long_{s}"))
     apart = pairs.join(side("a"), ["lat_a", "long_a"]).join(side("b"), ["lat_b", "long_b"]).select("ia", "ib")
-    one = places.select(F.col("id").alias("ia"), "lat", "long").join(places.select(F.col("id").alias("ib"), "lat", "long"), ["lat", "long"]).select("ia", "ib")
+    # Places at one spot are all near each other, and each pair of them is part of the result: listed once.
+    same = places.join(points.filter("weight > 1").select("lat", "long"), ["lat", "long"], "left_semi")
+    x, y = same.select(F.col("id").alias("ia"), "lat", "long"), same.select(F.col("id").alias("ib"), "lat", "long")
+    one = x.join(y, ["lat", "long"]).filter("ia < ib").select("ia", "ib")
     return apart.unionByName(one).filter("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
 
 
@@ -172,14 +175,22 @@ def near_counts(df: DataFrame, id_col: str, radius_m: float, lat: str = "lat", l
 def region_rings(df: DataFrame, region: str = "region_id", order: str = "vertex_no", lat: str = "lat", long: str = "long") -> DataFrame:
     """(region, edges, lo, hi, south, north): rings with longitudes unrolled from the first corner.
 
-    Every edge goes the short way round and is straight in (lat, long). Corners with a
-    null part are left out; a region's corners are one row (a region is one object).
+    Every edge goes the short way round and is straight in (lat, long). A ring that goes
+    once round the globe holds the pole nearer to it and is closed over that pole. Corners
+    with a null part are left out; a region's corners are one row (a region is one object).
     """
     rows = df.select(F.col(region).alias("region"), F.col(order).alias("no"), F.col(lat).alias("y"), F.col(long).alias("x")).dropna()
     ring = rows.groupBy("region").agg(F.array_sort(F.collect_set(F.struct("no", "y", "x"))).alias("ring"))
     step = lambda acc, v: F.array_append(acc, F.struct(v["y"].alias("y"), (acc[F.size(acc) - 1]["x"] + F.pmod(v["x"] - acc[F.size(acc) - 1]["x"] + 180, F.lit(360.0)) - 180).alias("x")))
     first = F.array(F.struct(F.col("ring")[0]["y"].alias("y"), F.col("ring")[0]["x"].alias("x")))
     unrolled = ring.withColumn("p", F.aggregate(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(1))), first, step))
+    # Where the closing edge would come back a turn away from the start, the ring runs round a pole.
+    start, end = F.col("p")[0], F.col("p")[F.size("p") - 1]
+    home = end["x"] + F.pmod(start["x"] - end["x"] + 180, F.lit(360.0)) - 180
+    pole = F.when(F.aggregate("p", F.lit(0.0), lambda s, v: s + v["y"]) >= 0, F.lit(90.0)).otherwise(F.lit(-90.0))
+    corner = lambda y, x: F.struct(y.alias("y"), x.alias("x"))
+    over = F.concat("p", F.array(corner(start["y"], home), corner(pole, home), corner(pole, start["x"])))
+    unrolled = unrolled.withColumn("p", F.when(F.abs(home - start["x"]) > 180, over).otherwise(F.col("p")))
     nxt = F.concat(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(1))), F.slice("p", 1, 1))
     edges = F.zip_with("p", nxt, lambda a, b: F.struct(a["y"].alias("y1"), a["x"].alias("x1"), b["y"].alias("y2"), b["x"].alias("x2")))
     pick = lambda c, f: f(F.transform("p", lambda v: v[c]))
@@ -197,7 +208,7 @@ def inside_pairs(df: DataFrame, id_col: str, regions: DataFrame, lat: str = "lat
 
     Tree nodes outside a region's box are discarded; nodes no edge comes near are in or
     out as a whole; points of the others are tested. Overlapping and concave regions are
-    fine; a ring round a pole is not.
+    fine, rings round a pole too.
     """
     places = cut(usable_places(df, id_col, lat, long), "places")
     points = places.groupBy("lat", "long").agg(F.count("*").alias("weight"))

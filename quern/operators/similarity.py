@@ -9,16 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.rounding import half_up
+
 BLOCK = 4_096
 DENSE = 1_024
 
 
-def top_vectors(vectors: DataFrame, n: int, mode: str = "cosine", id_col: str = "id", vec_col: str = "vec", bias_col: str | None = None, sources: DataFrame | None = None, exclude: DataFrame | None = None, digits: int = 9) -> DataFrame:
+def top_vectors(vectors: DataFrame, n: int, mode: str = "cosine", id_col: str = "id", vec_col: str = "vec", bias_col: str | None = None, sources: DataFrame | None = None, exclude: DataFrame | None = None, digits: int = 9, same_kind: bool = True, zeros: bool = True) -> DataFrame:
     """(source, target, prediction): the n most similar targets of each source, itself excluded.
 
     Both sides are cut into hashed blocks; each pair of blocks is one matrix product in one
     task, which hands on only the n best per source, so no pair of rows is materialised.
-    Ties go by id. ``dot`` adds both biases; ``exclude`` holds (source, target) pairs.
+    Ties go by id. ``dot`` adds both biases; ``exclude`` holds (source, target) pairs, of which each
+    source's list goes along with it to every block. Without ``same_kind`` equal ids of the two sides are
+    different things; without ``zeros`` pairs whose score rounds to zero are none.
     """
     if mode not in ("cosine", "dot", "euclidean"):
         raise ValueError("mode must be 'cosine', 'dot' or 'euclidean'")
@@ -28,9 +32,16 @@ def top_vectors(vectors: DataFrame, n: int, mode: str = "cosine", id_col: str =
     nt, ns = (max(1, -(-df.count() // BLOCK)) for df in (targets, asked))
     own = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = asked.select(own(ns).alias("sb"), every(nt).alias("tb"), F.lit(0).alias("side"), "id", "v", "w")
-    right = targets.select(every(ns).alias("sb"), own(nt).alias("tb"), F.lit(1).alias("side"), "id", "v", "w")
-    width = n if exclude is None else None
+    if exclude is not None:
+        # At most as many ids as the source has pairs; they travel with its vector.
+        held = exclude.toDF("id", "__q_t").groupBy("id").agg(F.collect_set("__q_t").alias("x"))
+        asked = asked.join(held, "id", "left")
+    else:
+        asked = asked.withColumn("x", F.lit(None).cast("array<string>"))
+    targets = targets.withColumn("x", F.lit(None).cast("array<string>"))
+    left = asked.select(own(ns).alias("sb"), every(nt).alias("tb"), F.lit(0).alias("side"), "id", "v", "w", "x")
+    right = targets.select(every(ns).alias("sb"), own(nt).alias("tb"), F.lit(1).alias("side"), "id", "v", "w", "x")
+    width = n
 
     def best(cell: pd.DataFrame) -> pd.DataFrame:
         s, t = cell[cell.side == 0], cell[cell.side == 1]
@@ -45,11 +56,18 @@ def top_vectors(vectors: DataFrame, n: int, mode: str = "cosine", id_col: str =
             score = 1 / (np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * score, 0)) + 0.001)
         else:
             score = score + s.w.to_numpy()[:, None] + t.w.to_numpy()
-        score = np.round(score, digits)
+        score = half_up(score, digits)
         sid, tid = s.id.to_numpy(), t.id.to_numpy()
         rank = np.argsort(np.argsort(tid, kind="stable"), kind="stable")
-        score[sid[:, None] == tid[None, :]] = np.nan
+        place = {t: j for j, t in enumerate(tid)}
+        for r, (name, gone) in enumerate(zip(sid, s.x)):
+            cols = [place[g] for g in (gone if gone is not None else ()) if g in place]
+            if same_kind and name in place:
+                cols.append(place[name])
+            score[r, cols] = np.nan
         score = np.nan_to_num(score, nan=-np.inf)
+        if not zeros:  # before places are given out
+            score[score == 0] = -np.inf
         if width is None or width >= len(tid):
             rows, cols = np.nonzero(score > -np.inf)
         else:
@@ -63,29 +81,28 @@ def top_vectors(vectors: DataFrame, n: int, mode: str = "cosine", id_col: str =
         return pd.DataFrame({"source": sid[rows[ok]], "target": tid[cols[ok]], "prediction": value[ok]})
 
     found = left.unionByName(right).groupBy("sb", "tb").applyInPandas(best, "source string, target string, prediction double")
-    if exclude is not None:
-        found = found.join(exclude.toDF("source", "target"), ["source", "target"], "left_anti")
     w = Window.partitionBy("source").orderBy(F.col("prediction").desc(), F.col("target").asc())
     return found.withColumn("__q_r", F.row_number().over(w)).filter(F.col("__q_r") <= n).drop("__q_r")
 
 
 def feature_similarity(features: DataFrame, n: int, digits: int = 9) -> DataFrame:
-    """(source, target, prediction): cosine of sparse (itemid, feature, weight) rows, n best per item.
+    """(source, target, prediction): cosine of sparse (itemid, feature, weight) rows, the n best per item.
 
-    Up to DENSE features the rows become dense vectors and go through top_vectors; more go
-    through a join on the feature. Pairs without a common feature do not appear.
+    Pairs without a common feature, and those whose cosine rounds to zero, do not appear. Up to DENSE features
+    the rows become dense vectors and go through top_vectors, more go through a join on the feature; both
+    give the same rows.
     """
-    rows = features.groupBy("itemid", "feature").agg(F.sum("weight").alias("weight"))
+    rows = features.groupBy("itemid", "feature").agg(F.sum("weight").alias("weight")).filter("weight <> 0")
     names = [r[0] for r in rows.select("feature").distinct().limit(DENSE + 1).collect()]  # at most DENSE + 1
     if len(names) <= DENSE:
         code = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(sorted(names)) for x in (f, i)]), F.col("feature")) if names else F.lit(0)
         held = rows.groupBy("itemid").agg(F.map_from_entries(F.collect_list(F.struct(code.alias("k"), "weight"))).alias("m"))
         dense = F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-        return top_vectors(held.select(F.col("itemid").alias("id"), dense.alias("vec")), n, "cosine", digits=digits).filter("prediction <> 0")
+        return top_vectors(held.select(F.col("itemid").alias("id"), dense.alias("vec")), n, "cosine", digits=digits, zeros=False)
     size = rows.groupBy("itemid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size")).filter("size > 0")
     unit = rows.join(size, "itemid").select("itemid", "feature", (F.col("weight") / F.col("size")).alias("u"))
     a, b = unit.toDF("source", "feature", "x"), unit.toDF("target", "feature", "y")
-    pairs = a.join(b, "feature").filter("source <> target").groupBy("source", "target").agg(F.round(F.sum(F.col("x") * F.col("y")), digits).alias("prediction"))
+    pairs = a.join(b, "feature").filter("source <> target").groupBy("source", "target").agg(F.round(F.sum(F.col("x") * F.col("y")), digits).alias("prediction")).filter("prediction <> 0")
     w = Window.partitionBy("source").orderBy(F.col("prediction").desc(), F.col("target").asc())
     return pairs.withColumn("__q_r", F.row_number().over(w)).filter(F.col("__q_r") <= n).drop("__q_r")
 

@@ -12,6 +12,7 @@ from quern.operators import metrics as me
 from quern.operators import models as mo
 from quern.operators import observations as ob
 from quern.operators import recommend as re_
+from quern.operators import recommenders as rc
 from quern.operators import scoring as sc
 from quern.operators import similarity as si
 from quern.plans import views
@@ -469,6 +470,106 @@ def cascade(s: SparkSession, d: str) -> DataFrame:
     return en.cascade(first, lambda c: c.join(popular, "itemid"), 3)
 
 
+# Fitted recommenders and ensembles of them
+
+_MIRROR = "{name} as (select itemid_source, itemid, prediction + coalesce(case when low < 0.01 then abs(low - 0.01) end, 0) prediction from (select *, min(prediction) over () low from (select itemid_source, itemid, sum(prediction) prediction from (select * from {src} union all select itemid, itemid_source, prediction from {src}) group by 1, 2)))"
+
+
+def _ranked(src: str, name: str, by: str = "userid") -> str:
+    return f"{name} as (select {by}, itemid, rank() over (partition by {by} order by prediction desc) + (count(*) over (partition by {by}, prediction) - 1) / 2.0::double rk from {src})"
+
+
+def _voted(parts: list[str], fill: int, by: str = "userid", name: str = "voted") -> str:
+    rows = " union all ".join(f"select * from {p}" for p in parts)
+    return f"{name} as (select {by}, itemid, {len(parts)} / (sum(rk) + ({len(parts)} - count(*)) * {fill}.0::double) prediction from ({rows}) group by 1, 2)"
+
+
+def _scored(sim: str, train: str = "obs", name: str = "scores") -> str:
+    return f"{name} as (select t.userid, s.itemid, round(sum(s.prediction), 9) prediction from {train} t join {sim} s on s.itemid_source = t.itemid where not exists (select 1 from {train} x where x.userid = t.userid and x.itemid = s.itemid) group by 1, 2)"
+
+
+def _first(src: str, n: int, name: str, by: str = "userid") -> str:
+    return f"{name} as (select {by}, itemid, prediction from (select *, row_number() over (partition by {by} order by prediction desc, itemid) k from {src}) where k <= {n})"
+
+
+_FINAL = "final as (select userid, itemid, round(prediction, 9) prediction from {src})"
+
+
+@query(f"{_cooc_sql(10)}, {_MIRROR.format(name='both_', src='simil')}, {_scored('both_')}, {_first('scores', 10, 'recs')} select * from recs")
+def similarity_table(s: SparkSession, d: str) -> DataFrame:
+    """Recommendations from a given table of similarities, here each item's ten most similar ones, which is the table's size."""
+    o = cut(views.obs(s, d), "obs")
+    return rc.SimilarityTable().fit_table(o, co.top_cooccurring(o, 10)).recommend(n=10)
+
+
+@query(f"""{_ITEM}, {_first('fresh', 10, 'one')}, up as (select a.userid a, b.userid b, count(*) v from obs a join obs b on a.itemid = b.itemid and a.userid <> b.userid group by 1, 2),
+ul as (select a, b, round(v / sum(v) over (partition by a), 9) v from up), us as (select m.a userid, t.itemid, round(sum(m.v * t.rating), 9) prediction from ul m join obs t on t.userid = m.b where not exists (select 1 from obs x where x.userid = m.a and x.itemid = t.itemid) group by 1, 2),
+{_first('us', 10, 'two')}, {_ranked('one', 'r1')}, {_ranked('two', 'r2')}, {_voted(['r1', 'r2'], 11)}, {_FINAL.format(src='voted')}, {_first('final', 10, 'recs')} select * from recs""")
+def ensemble_rank(s: SparkSession, d: str) -> DataFrame:
+    """Item and user co-occurrence combined by rank."""
+    return rc.RankEnsemble([rc.ItemCooccurrence(), rc.UserCooccurrence()]).fit(views.obs(s, d)).recommend(n=10)
+
+
+@query(f"""{_cooc_sql(20)}, {_FEATURES}, n as (select itemid, sqrt(sum(w * w)) z from w group by 1), un as (select itemid, feature, w / z x from w join n using (itemid)),
+fp as (select a.itemid itemid_source, b.itemid itemid, round(sum(a.x * b.x), 9) prediction from un a join un b on a.feature = b.feature and a.itemid <> b.itemid group by 1, 2),
+{_first('fp', 20, 'ft', 'itemid_source')}, {_MIRROR.format(name='fm', src='ft')}, fk as (select itemid_source, itemid, round(prediction, 9) prediction from fm where itemid_source in (select itemid from obs)), {_first('fk', 20, 'f20', 'itemid_source')},
+{_ranked('simil', 'r1', 'itemid_source')}, {_ranked('f20', 'r2', 'itemid_source')}, {_voted(['r1', 'r2'], 21, 'itemid_source')}, {_MIRROR.format(name='both_', src='voted')}, {_scored('both_')}, {_first('scores', 10, 'recs')} select * from recs""")
+def ensemble_similarity(s: SparkSession, d: str) -> DataFrame:
+    """Co-occurrence and feature similarities combined by rank into one table, then recommended from; lists of 20, a parameter."""
+    o = cut(views.obs(s, d), "obs")
+    members = [rc.ItemCooccurrence().fit(o), rc.FeatureSimilarity(n_simil=20).fit_features(o, _weighted(s, d))]
+    return rc.SimilarityEnsemble(members, n_unfiltered=20).fit(o).recommend(n=10)
+
+
+_CELL_GRID = """g as (select distinct itemid, p_retailprice lat, p_size::double long from obs join (select cast(p_partkey as varchar) itemid, p_retailprice, p_size from part) using (itemid)),
+qp as (select quantile_cont(lat, [0, 0.5, 1]) q from g), bands as (select i, q[i + 1] lo, q[i + 2] hi from qp, range(2) x(i)),
+ql as (select i, lo, hi, quantile_cont(long, [0, 0.5, 1]) q from g join bands on lat between lo and hi group by 1, 2, 3),
+grid as (select i * 2 + j cell, round(lo - 0.5, 9) lat_lo, round(hi + 0.5, 9) lat_hi, round(q[j + 1] - 0.5, 9) long_lo, round(q[j + 2] + 0.5, 9) long_hi from ql, range(2) y(j)),
+ce as (select itemid, cell from g join grid on lat between lat_lo and lat_hi and long between long_lo and long_hi),
+oc as (select cell, userid, itemid from obs join ce using (itemid)),
+cp as (select a.cell, a.itemid a, b.itemid b, count(*) v from oc a join oc b on a.cell = b.cell and a.userid = b.userid and a.itemid <> b.itemid group by 1, 2, 3),
+cl as (select cell, a, b, v / sum(v) over (partition by cell, a) v from cp), cs as (select cell, a, b, round(sum(v), 9) v from (select * from cl union all select cell, b, a, v from cl) group by 1, 2, 3),
+sc as (select t.cell, t.userid, s.b itemid, round(sum(s.v), 9) prediction from oc t join cs s on s.cell = t.cell and s.a = t.itemid where not exists (select 1 from oc x where x.cell = t.cell and x.userid = t.userid and x.itemid = s.b) group by 1, 2, 3),
+top as (select * from (select *, row_number() over (partition by cell, userid order by prediction desc, itemid) k from sc) where k <= 10),
+rk as (select userid, itemid, rank() over (partition by cell, userid order by prediction desc) + (count(*) over (partition by cell, userid, prediction) - 1) / 2.0::double rk from top),
+voted as (select userid, itemid, round(4 / (sum(rk) + (4 - count(*)) * 11.0::double), 9) prediction from rk group by 1, 2)"""
+
+
+@query(f"with {OBS_SQL}, {_CELL_GRID}, {_first('voted', 10, 'recs')} select * from recs")
+def ensemble_cells(s: SparkSession, d: str) -> DataFrame:
+    """A co-occurrence model for every cell of a 2 x 2 grid of equal counts over price and size, combined by rank."""
+    places = views.items(s, d).select("itemid", F.col("p_retailprice").alias("lat"), F.col("p_size").cast("double").alias("long"))
+    return rc.SubdivisionEnsemble(rc.ItemCooccurrence, places, n_lat=2, n_long=2).fit(views.obs(s, d)).recommend(n=10)
+
+
+@query(
+    _EVAL.replace("test as (select userid, itemid from cut_ where k <=", "test as (select userid, itemid from cut_ where userid in (select userid from obs) and itemid in (select itemid from obs) and k <=")
+    + ", best as (select count(distinct itemid) b from (select itemid, row_number() over (partition by userid order by itemid) k from test) where k <= 5), got as (select count(distinct itemid) q from h0 where rank < 5) select 'later test' dataset, "
+    + ", ".join(f"round(avg({m}), 6) {m}" for m in me.METRICS)
+    + ", round((select q from got) / (select b from best), 6) n_coverage_at_k from m"
+)
+def evaluate_fitted(s: SparkSession, d: str) -> DataFrame:
+    """The report of a fitted recommender over held-out data of known users and items."""
+    parts = cut(ob.split_by_time(views.obs(s, d), "ts", ratio=0.2, ties=_TIES), "split")
+    rec = rc.ItemCooccurrence().fit(parts.filter("part = 'train'"))
+    return rec.evaluate({"later ": parts.filter("part = 'test'")}, k=5, include_train=False)
+
+
+@query()
+def evaluate_sets(s: SparkSession, d: str) -> DataFrame:
+    """Train and two test sets of a ranking factoriser at once, exactly ranked."""
+    o = ob.split_by_time(views.obs(s, d), "ts", ratio=0.2, ties=_TIES)
+    parts = cut(ob.hash_split(o, 0.5, _TIES, out="half"), "parts")
+    rec = rc.RankingRecommender(epochs=3, loss="warp").fit(parts.filter("part = 'train'"))
+    return rec.evaluate({h: parts.filter((F.col("part") == "test") & (F.col("half") == h)) for h in ("test", "train")}, n=None)
+
+
+@query()
+def ranking_rows(s: SparkSession, d: str) -> DataFrame:
+    """Ten new items per user by pairwise ranking with default parameters."""
+    return rc.RankingRecommender().fit(views.obs(s, d)).recommend(n=10)
+
+
 # Places
 
 _GEO = PLACES_SQL
@@ -575,10 +676,8 @@ def event_sessions(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def als_rows(s: SparkSession, d: str) -> DataFrame:
-    o = cut(views.obs(s, d), "obs")
-    users, items = mo.als_factors(o, rank=8, iterations=3)
-    pairs = o.select("userid", "itemid")
-    return re_.factor_scores(pairs, users, items)
+    """Ten new items per user by implicit ALS with default parameters, every user against every item."""
+    return rc.AlsRecommender().fit(views.obs(s, d)).recommend(n=10)
 
 
 @query()
@@ -588,7 +687,7 @@ def kmeans_rows(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_candidates_rows(s: SparkSession, d: str) -> DataFrame:
-    users, items = mo.als_factors(views.obs(s, d), rank=8, iterations=3)
+    users, items = mo.als_factors(views.obs(s, d))
     members, near = mo.cluster_factors(users, items, 10)
     return mo.cluster_candidates(cut(members, "members"), near, 10, 0.1).groupBy("userid").agg(F.count("*").alias("n"))
 
@@ -596,9 +695,9 @@ def cluster_candidates_rows(s: SparkSession, d: str) -> DataFrame:
 @query()
 def rf_rows(s: SparkSession, d: str) -> DataFrame:
     o = cut(views.obs(s, d), "obs")
-    users, items = mo.als_factors(o, rank=4, iterations=2)
+    users, items = mo.als_factors(o)
     pairs = cut(mo.negatives(o), "pairs")
-    _, apply = mo.rerank_regressor(pairs, users, items, numTrees=5, maxDepth=4)
+    _, apply = mo.rerank_regressor(pairs, users, items)
     return apply(pairs).select("userid", "itemid", "rating", "prediction")
 
 
