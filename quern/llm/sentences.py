@@ -5,8 +5,8 @@ marks inside quotations or brackets) are replaced by private-use placeholders of
 the same length, boundaries are then inserted by terminator patterns for the
 script at hand, and the original text is cut at the positions found; cutting the
 original restores what was masked. No pattern depends on the row's stated language:
-the letters of the text decide. In quotations and brackets marks are masked only within
-400 characters of both ends, in addresses within 100 of the start; those beyond may cut.
+the letters of the text decide, and where a text's own lines do not show whether they are wrapped, the widths
+of the other texts' lines.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ DOT = ""  # a mark that never ends a sentence
 QUOTED = ""  # a mark inside a quotation
 BRACKETED = ""  # a mark inside brackets
 OPEN, CLOSE = "", ""  # straight quotation marks by direction
-_PRIVATE = CUT + DOT + QUOTED + BRACKETED + OPEN + CLOSE
+SAID, SPOKEN = "\ue106", "\ue107"  # straight quotation marks by direction
+_PRIVATE = CUT + DOT + QUOTED + BRACKETED + OPEN + CLOSE + SAID + SPOKEN
 
 _ENDS = ".!?…。！？｡।॥۔؟"
 _D = f"[.{DOT}]"
@@ -56,10 +57,17 @@ def _r(col: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(col, F.lit("(?U)" + pattern), F.lit(by))
 
 
-def _inside(col: Column, opening: str, closing: str, by: str) -> Column:
-    """Terminators between an opening and a closing mark at most 400 characters apart on either side."""
-    both = opening + closing
-    return _r(col, rf"[{_ENDS}](?=[^{both}]{{0,400}}[{closing}])(?<=[{opening}][^{both}]{{0,401}})", by)
+def _inside(col: Column, opening: str, closing: str, by: str, spoken: bool = False) -> Column:
+    """Terminators between an opening and a closing mark, however far apart, with no such mark between them.
+
+    The text is cut before every opening and after every closing mark, so each pair is one piece. With
+    ``spoken`` openings after a comma or colon are known, and their closing mark becomes SPOKEN.
+    """
+    opening = opening + SAID if spoken else opening
+    whole = rf"(?s)^[{opening}].*[{closing}]$"
+    hidden = lambda p: F.translate(p, _ENDS, by * len(_ENDS))
+    inner = lambda p: F.when(p.startswith(SAID), F.concat(hidden(F.substr(p, F.lit(1), F.char_length(p) - 1)), F.lit(SPOKEN))).otherwise(hidden(p)) if spoken else hidden(p)
+    return F.array_join(F.transform(F.split(col, rf"(?=[{opening}])|(?<=[{closing}])"), lambda p: F.when(p.rlike(whole), inner(p)).otherwise(p)), "")
 
 
 def mask(df: DataFrame) -> DataFrame:
@@ -74,7 +82,8 @@ def mask(df: DataFrame) -> DataFrame:
         df = df.withColumn("m", expr)
 
     t = _r(t, r"(?i)\.(?<=\bwww\.)", DOT)
-    t = _r(t, rf"(?i)\.(?=[^\s\p{{Lu}}])(?<=(?:https?://|\bwww{_D})\S{{1,100}}\.)", DOT)
+    # From the start of an address each match goes on where the last one ended.
+    t = _r(t, rf"((?i:https?://|\bwww{_D})|\G(?!^))((?:[^\s.]|\.(?![^\s\p{{Lu}}]))*)\.(?=[^\s\p{{Lu}}])", "$1$2" + DOT)
     t = _r(t, rf"\.(?=(?:{_DOMAINS})\b)", DOT)
     t = _r(t, r"[.](?=\p{Nd})(?<=\p{Nd}[.])", DOT)
     done(t)
@@ -107,16 +116,35 @@ def mask(df: DataFrame) -> DataFrame:
     low = _r(low, rf"(?i)\.(?=\s+(?!(?:{_OPENERS})\b)\p{{Ll}})(?<={_BEFORE}(?:{_MAYBE})\.)", DOT)
     done(F.when(lower, low).otherwise(t))
     # Quotations and brackets.
+    has = lambda *marks: F.col("m").rlike("[" + "".join(marks) + "]")
+    said = lambda x, marks: F.when(lower, _r(x, rf"(?<=[,:]\s{{0,2}})[{marks}]", SAID)).otherwise(x)
     straight = _r(_r(t, r'(?m)(?:(?<=^)|(?<=[\s(（\[—–\-«„“]))"(?=\S)', OPEN), '"', CLOSE)
-    done(F.when(F.contains(t, F.lit('"')), _inside(straight, OPEN, CLOSE, QUOTED)).otherwise(t))
-    done(F.when(F.contains(t, F.lit("«")), _inside(t, "«", "»", QUOTED)).otherwise(t))
-    done(F.when(F.contains(t, F.lit("„")), _inside(t, "„", "“”", QUOTED)).when(F.contains(t, F.lit("“")), _inside(t, "“", "”", QUOTED)).otherwise(t))
-    done(F.when(F.contains(t, F.lit("「")) | F.contains(t, F.lit("『")), _inside(_inside(t, "「", "」", QUOTED), "『", "』", QUOTED)).otherwise(t))
-    done(F.when(t.rlike("[(（]"), _inside(t, "(（", ")）", BRACKETED)).otherwise(t))
+    for start, end, found in ((OPEN, CLOSE, straight), ("«", "»", t), ("„", "“”", t), ("“", "”", t)):
+        here = F.contains(t, F.lit('"' if start == OPEN else start))
+        if start == "“":
+            here = here & ~F.contains(t, F.lit("„")) & ~F.col("low_quotes")
+        if start == "„":
+            df = df.withColumn("low_quotes", F.contains(t, F.lit("„")))
+        done(F.when(here, said(found, start)).otherwise(t))
+        done(F.when(here if start != OPEN else has(OPEN, SAID, CLOSE), _inside(t, start, end, QUOTED, True)).otherwise(t))
+    done(F.when(has("「", "『"), _inside(_inside(t, "「", "」", QUOTED), "『", "』", QUOTED)).otherwise(t))
+    done(F.when(has("(", "（"), _inside(t, "(（", ")）", BRACKETED)).otherwise(t))
     return df
 
 
-def line_breaks(df: DataFrame) -> DataFrame:
+def usual_widths(df: DataFrame) -> tuple[float, float] | None:
+    """(low, high) of the line widths in the texts whose own lines show that they are wrapped; None if none does.
+
+    ``high`` is what nine of ten longest lines do not pass; ``low`` what a line of theirs, with the next word
+    added, hardly ever stays under. Two numbers from one aggregate over all texts.
+    """
+    # A condition inside the aggregate: a filter would be pushed down, and every column above it worked out again.
+    own = F.col("some") & F.col("shown")
+    row = line_breaks(df, None).agg(F.percentile_approx(F.when(own, F.col("least")), 0.05), F.percentile_approx(F.when(own, F.col("most")), 0.9)).first()
+    return None if row[0] is None else (float(row[0]), float(row[1]))
+
+
+def line_breaks(df: DataFrame, widths: tuple[float, float] | None) -> DataFrame:
     """Adds booleans some, goes_on and tight: signs that text m is wrapped, its single line breaks falling inside sentences.
 
     A line that ends without a mark before one that starts in lower case is wrapped.
@@ -124,7 +152,7 @@ def line_breaks(df: DataFrame) -> DataFrame:
     least three breaks, 85 % come where the next word would have passed the usual longest
     line, or else where the last word passed the usual shortest one; words of over a third
     of a line say nothing. A text that shows no width of its own, as with one or two breaks,
-    is wrapped if no line is over 66 and no next word would have brought one to 57 or less.
+    is wrapped if its lines keep to the ``widths`` of the other texts.
     Lines and breaks are columns of their own, so that no lambda works them out again per line.
     """
     t = F.col("m")
@@ -133,8 +161,6 @@ def line_breaks(df: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("lines", 1, F.size("lines") - 1), F.slice("lines", 2, F.size("lines")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     df = df.withColumn("breaks", F.filter(pairs, lambda x: (F.char_length(x["a"]) > 0) & (F.char_length(x["b"]) > 0)))
     df = df.withColumn("loose", F.filter("breaks", lambda x: ~x["a"].rlike(rf"(?U)[{_ENDS}][\p{{Pe}}\p{{Pf}}\p{{Pi}}\"'’]*$")))
-    fits = lambda x: F.char_length(x["a"]) + 1 + F.char_length(F.regexp_extract(x["b"], r"(?U)^\S+", 0)) <= 57
-    tight = (F.array_max(F.transform("lines", lambda x: F.char_length(x))) <= 66) & ~F.exists("breaks", fits)
     word = lambda c, p: F.char_length(F.regexp_extract(c, p, 0))
     df = df.withColumn("ends", F.transform("breaks", lambda x: F.struct(F.char_length(x["a"]).alias("n"), word(x["b"], r"(?U)^\S+").alias("next"), word(x["a"], r"(?U)\S+$").alias("last"))))
     df = df.withColumn("widths", F.array_sort(F.transform("ends", lambda x: x["n"])))
@@ -143,20 +169,24 @@ def line_breaks(df: DataFrame) -> DataFrame:
     most = lambda f: F.size(F.filter("ends", f)) >= 0.85 * F.size("ends")
     filled = most(lambda x: (x["n"] + 1 + x["next"] > F.col("longest")) & (3 * x["next"] <= F.col("longest")))
     passed = most(lambda x: (x["n"] - x["last"] - 1 < F.col("shortest")) & (x["n"] >= F.col("shortest")) & (3 * x["last"] <= F.col("shortest")))
-    tight = tight | ((F.size("ends") >= 3) & (filled | passed))
+    shown = (F.size("ends") >= 3) & (filled | passed)
+    df = df.withColumns({"most": F.array_max(F.transform("lines", lambda x: F.char_length(x))), "least": F.array_min(F.transform("ends", lambda x: x["n"] + 1 + x["next"]))})
+    tight = shown if widths is None else shown | ((F.col("most") <= widths[1]) & (F.col("least") >= widths[0]))
     goes_on = F.exists("loose", lambda x: x["b"].rlike(r"^[\p{Ll},;:!?)»]"))
     some = (F.size("loose") > 0) & ~t.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{4}")
-    said = {k: F.coalesce(v, F.lit(False)) for k, v in {"some": some, "goes_on": goes_on, "tight": tight}.items()}
+    said = {k: F.coalesce(v, F.lit(False)) for k, v in {"some": some, "goes_on": goes_on, "tight": tight, "shown": shown}.items()}
     return df.withColumns(said).drop("lines", "breaks", "loose", "ends", "widths", "longest", "shortest")
 
 
 def split_points(df: DataFrame) -> DataFrame:
     """Adds column m: the masked text of column t with CUT after each sentence; without CUT it is as long as t."""
     df = df.withColumn("m", F.translate("t", _PRIVATE, "�" * len(_PRIVATE)))
+    widths = usual_widths(df.select("m"))
     t = F.col("m")
     n = lambda p: F.regexp_count(t, F.lit(p))
-    df = line_breaks(df)
-    df = df.withColumns({"letters": n(r"\p{L}"), "cased": n(r"[\p{Lu}\p{Ll}]"), "uppers": n(r"\p{Lu}"), "after_low": n(r"[.!?]\s+\p{Ll}"), "after_up": n(r"[.!?]\s+\p{Lu}")})
+    only = lambda c, p: F.char_length(F.regexp_replace(c, F.lit(p), F.lit("")))
+    df = line_breaks(df, widths)
+    df = df.withColumns({"letters": only(t, r"\P{L}+"), "cased": only(t, r"[^\p{Lu}\p{Ll}]+"), "uppers": n(r"\p{Lu}"), "after_low": n(r"[.!?]\s+\p{Ll}"), "after_up": n(r"[.!?]\s+\p{Lu}")})
     df = df.withColumn("bicameral", F.col("cased") * 2 > F.col("letters"))
     df = df.withColumn("lower", F.col("bicameral") & ((F.col("uppers") == 0) | ((F.col("after_low") > F.col("after_up")) & (F.col("uppers") * 60 < F.col("cased")))))
     df = df.withColumn("plain", F.col("bicameral") & ~F.col("lower"))
@@ -171,10 +201,10 @@ def split_points(df: DataFrame) -> DataFrame:
     # Brackets and quotations that hold the end of their sentence.
     stop = r"\s,;:.!?。！？…"
     done(F.when(plain, _r(m, rf"({BRACKETED}[)）])(?=\s*[^{stop}\p{{Ll}}])", "$1" + CUT)).otherwise(_r(m, rf"({BRACKETED}[)）])(?=\s*[^{stop}])", "$1" + CUT)))
-    shut = f"{CLOSE}»”“’"
+    shut = f"{CLOSE}{SPOKEN}»”“’"
     done(
         F.when(plain, _r(m, rf"({QUOTED}[{shut}]+)(?=\s+[\p{{Lu}}\p{{Nd}}¿¡«„“{OPEN}(（])", "$1" + CUT))
-        .when(lower, _r(m, rf"({QUOTED}[{shut}])(?=\s+\S)(?<=[,:]\s{{0,2}}[{OPEN}«„“][^{OPEN}{shut}„«]{{0,400}}[{shut}])", "$1" + CUT))
+        .when(lower, _r(m, rf"({QUOTED}{SPOKEN})(?=\s+\S)", "$1" + CUT))
         .otherwise(m)
     )
     # Terminators of scripts that need no space after them.
@@ -184,10 +214,10 @@ def split_points(df: DataFrame) -> DataFrame:
     done(_r(x, r"(?:(?<=ครับ)|(?<=ค่ะ)|(?<=คะ)|(?<=จ้ะ)|(?<=จ้า))(\s+)(?=\S)", CUT + "$1"))
     # Full stops, question and exclamation marks before a space.
     after = r"\s,;:—–\-.!?…)»”"
-    ends = rf"([.!?…]+[{CLOSE}»”’)\]]*)"
+    ends = rf"([.!?…]+[{CLOSE}{SPOKEN}»”’)\]]*)"
     done(F.when(plain, _r(m, rf"{ends}(?=\s+[^\p{{Ll}}{after}])", "$1" + CUT)).otherwise(_r(m, rf"{ends}(?=\s+[^{after}])", "$1" + CUT)))
     # The space after a mark left out.
-    done(_r(m, rf"([.!?…])(?=[\p{{Lu}}¿¡«„“])(?<=(?:\p{{Ll}}\p{{Ll}}|\p{{Nd}}|[)»”{CLOSE}]|\s|[ap]{_D}m|\p{{Lu}}{_D}\p{{Lu}}|[.!?…])[.!?…])", "$1" + CUT))
+    done(_r(m, rf"([.!?…])(?=[\p{{Lu}}¿¡«„“])(?<=(?:\p{{Ll}}\p{{Ll}}|\p{{Nd}}|[)»”{CLOSE}{SPOKEN}]|\s|[ap]{_D}m|\p{{Lu}}{_D}\p{{Lu}}|[.!?…])[.!?…])", "$1" + CUT))
     tight_low = _r(_r(m, r"([!?])(?=\p{Ll})", "$1" + CUT), r"(\.)(?=\p{Ll}\p{Ll})(?<=\p{Ll}\p{Ll}\.)", "$1" + CUT)
     done(F.when(lower, tight_low).when(~bicameral, _r(m, r"([!?])(?=[\p{L}¿¡«„“])", "$1" + CUT)).otherwise(m))
     # Lines.
