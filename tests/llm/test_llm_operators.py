@@ -222,3 +222,80 @@ def test_sentence_lines_and_edges(spark):
     assert len(by[2]) == 2 and 3 not in by and 4 not in by
     assert by[5] == [(1, 8, "no mark")] and len(by[6]) == 2
     assert (1, 7, "\U0001f600 fine.") in by[7] and (2, 19, "Yes, it was.") in by[7]
+
+
+@pytest.mark.parametrize("chunk,bucket_pairs", [(4, 20), (2048, 2_000_000)])
+def test_pair_table_compacts_grows_and_leaves_no_basket_out(spark, monkeypatch, chunk, bucket_pairs):
+    from quern.llm import pairs
+
+    monkeypatch.setattr(pairs, "CHUNK", chunk)
+    monkeypatch.setattr(pairs, "BUCKET_PAIRS", bucket_pairs)
+    monkeypatch.setattr(pairs, "RUNS", 1)
+    rng = random.Random(2)
+    rows = [(f"b{rng.randrange(12)}", f"i{rng.randrange(15)}") for _ in range(90)] + [("hot", f"i{k}") for k in range(15)]
+    rng.shuffle(rows)
+    held = PairTable(spark, max_basket=None, min_pair=2)
+    for s in range(0, len(rows), 60):
+        held.apply(spark.createDataFrame(rows[s : s + 60], "basket string, item string"))
+    baskets = {}
+    for b, i in rows:
+        baskets.setdefault(b, set()).add(i)
+    want = Counter((a, b) for v in baskets.values() for a in v for b in v if a < b)
+    own = Counter(i for v in baskets.values() for i in v)
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b) for r in held.scores(min_pair=2).collect()}
+    assert got == {(a, b): (k, own[a], own[b]) for (a, b), k in want.items() if k >= 2}
+    assert len(held.runs) == 1 and held.n_baskets == len(baskets)
+    with pytest.raises(ValueError):
+        held.scores()
+
+
+def test_zip_codes_keep_all_their_digits(spark):
+    users = spark.createDataFrame([(3, "judge")], "occupation int, occupation_name string")
+    ids = spark.createDataFrame([("F-35-judge-12345678",), ("F-35-judge-12345679",), ("F-35-judge-123",)], "userid string")
+    assert {r.userid: r.person for r in person_keys(ids, users).collect()} == {"F-35-judge-12345678": "f|35|3|12345678", "F-35-judge-12345679": "f|35|3|12345679", "F-35-judge-123": "f|35|3|0000123"}
+
+
+def test_an_id_with_several_vectors_is_linked_by_any(spark):
+    e = lambda k, sign=1.0: [sign if i == k else 0.01 for i in range(64)]
+    rows = [("s", n, e(k)) for k in (0, 9) for n in [f"{k}-{i}" for i in range(3)]] + [("s", "both", e(0)), ("s", "both", e(9)), ("s", "far", e(30))]
+    df = spark.createDataFrame(rows, "segment string, itemid string, item_embeddings array<float>")
+    counts = spark.createDataFrame([("s", 2)], "segment string, n_clusters int")
+    assert Counter(r["first"] for r in item_groups(df, counts).collect()) == {"0-0": 7}
+
+
+@pytest.mark.parametrize("width", [50, 72, 100])
+def test_wrapped_text_without_case_keeps_its_sentences(spark, width):
+    import textwrap
+
+    words = "यह थैला बहुत अच्छा है और मैं इसे रोज़ बाज़ार ले जाता हूँ क्योंकि इसमें सारा सामान आ जाता है".split()
+    text = textwrap.fill(" ".join(words * 6) + "।", width)
+    short = textwrap.fill(" ".join(words * 6)[: int(1.5 * width)].rsplit(" ", 1)[0] + "।", width)
+    lines = "यह थैला अच्छा है\nमैं इसे रोज़ बाज़ार ले जाता हूँ और इसमें सारा सामान आ जाता है\nसस्ता है\nइसका रंग भी बहुत अच्छा है"
+    got = sentences(spark.createDataFrame([(1, text), (2, lines), (3, short)], "doc_id long, text string")).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {1: 1, 2: 4, 3: 1}
+
+
+def test_long_quotations_brackets_and_addresses(spark):
+    inner = "It is good. " * 60
+    texts = [f'He said, "{inner.strip()}" and left. Then he came back.', f"A note ({inner.strip()}) follows here. The end.", "See http://shop.example/" + "a" * 150 + ".b.c/d.e for it. Fine."]
+    got = {r["id"]: r["count"] for r in sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).groupBy("id").count().collect()}
+    assert got == {0: 2, 1: 2, 2: 2}
+
+
+def test_tags_of_any_length_are_no_difference(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    items = spark.createDataFrame([(1, "en", " ".join(words))], "eval_id long, lang string, text string")
+    tag = '<a href="' + "x" * 5000 + '">'
+    docs = spark.createDataFrame([(1, " ".join(words[:6]) + tag + " " + " ".join(words[6:]))], "doc_id long, text string")
+    assert [r.longest for r in find_leaks(docs, items).collect()] == [12]
+
+
+def test_related_texts_and_rendezvous(spark):
+    from quern.llm.splits import related_texts
+
+    kind = "doc_id long, userid string, text string"
+    rows = [(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", "z"), (5, None, " "), (6, "", None), (7, "d", "x")]
+    got = {r.doc_id: (r.component, r.split) for r in related_texts(spark.createDataFrame(rows, kind)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 1}
+    assert len({got[k] for k in (1, 2, 3, 7)}) == 1
+    assert related_texts(spark.createDataFrame([], kind)).count() == 0
