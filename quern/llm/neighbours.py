@@ -35,7 +35,7 @@ PROBE_RATIO, PROBES = 0.2, 16  # of the lists that a probe for its nearest vecto
 BLOCK = 4_096  # vectors of a list compared in one task
 DEGREE = 16
 BEAM = 32
-WIDE = 10  # the nearest candidates that are expanded in any case
+WIDE = 20  # the nearest candidates that are expanded in any case
 MEMBER, PROBE = 1, 2
 
 
