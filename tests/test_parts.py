@@ -95,3 +95,37 @@ def test_cut_leaves_no_shuffle_files(spark):
     finally:
         type(df.write).parquet = write
     assert seen == ["true"] and spark.conf.get(key, "false") == "false"
+
+
+@pytest.mark.parametrize("per", [2_000_000, 40])
+def test_ranks_of_held_pairs_and_the_first(spark, monkeypatch, per):
+    df, o = observations(spark)
+    monkeypatch.setattr(sc, "PAIRS", per)
+    want = {(u, i): k for u, v in best(*item_scores(df), 8).items() for k, (_, i) in enumerate(v)}
+    held = spark.createDataFrame([p for p, k in want.items() if k % 3 == 0] + [("au1", "bi01"), ("nobody", "ai01")], "userid string, itemid string")
+    got = {(r.userid, r.itemid): r["rank"] for r in sc.recommend_by_items(o, 8, hold=held, top=2).collect()}
+    needed = {p: k for p, k in want.items() if k < 2 or k % 3 == 0}
+    assert needed.items() <= got.items() <= want.items()
+    assert per == 40 or got == needed  # whole parts: no other rank leaves its task
+
+
+@pytest.mark.parametrize("query", ["evaluate_fitted"])
+def test_evaluation_sends_no_pairs_and_no_whole_lists(spark, sf, monkeypatch, query):
+    from quern.plans import core_queries
+
+    monkeypatch.setattr(co, "with_pairs", refuse)
+    monkeypatch.setattr(sc.ob, "zero_ranks", refuse)
+    monkeypatch.setattr(cc, "TASKS", 1e-9)
+    monkeypatch.setattr(sc, "PAIRS", 1e12)
+    assert core_queries.QUERIES[query](spark, sf).count() > 0
+
+
+def test_split_by_time_at_every_edge(spark):
+    from quern.operators import observations as ob
+
+    rows = [(f"u{k}", None if k % 7 == 0 else k // 3) for k in range(30)]
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    df = spark.createDataFrame(rows, "u string, t int")
+    for ratio in (0.0, 0.2, 0.34, 0.9, 1.0):
+        got = {r.u for r in ob.split_by_time(df, "t", ratio=ratio, ties=("u",)).filter("part = 'test'").collect()}
+        assert got == {u for u, _ in order[: int(29 * ratio)]}
