@@ -109,7 +109,7 @@ def test_ranks_of_held_pairs_and_the_first(spark, monkeypatch, per):
     assert per == 40 or got == needed  # whole parts: no other rank leaves its task
 
 
-@pytest.mark.parametrize("query", ["metrics_per_user", "evaluate_fitted"])
+@pytest.mark.parametrize("query", ["metrics_per_user", "metrics_report", "evaluate_fitted"])
 def test_evaluation_sends_no_pairs_and_no_whole_lists(spark, sf, monkeypatch, query):
     from quern.plans import core_queries
 
