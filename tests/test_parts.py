@@ -129,3 +129,13 @@ def test_split_by_time_at_every_edge(spark):
     for ratio in (0.0, 0.2, 0.34, 0.9, 1.0):
         got = {r.u for r in ob.split_by_time(df, "t", ratio=ratio, ties=("u",)).filter("part = 'test'").collect()}
         assert got == {u for u, _ in order[: int(29 * ratio)]}
+
+
+@pytest.mark.parametrize("per,held", [(2_000_000, 8_000_000), (40, 8_000_000), (2_000_000, 20)])
+def test_users_alike_by_part_block_and_pairs(spark, monkeypatch, per, held):
+    df, o = observations(spark)
+    monkeypatch.setattr(sc, "PAIRS", per)
+    monkeypatch.setattr(sc, "HELD", held)
+    if held > 20:
+        monkeypatch.setattr(co, "with_pairs", refuse)
+    alike(rows_of(sc.recommend_by_users(o, 3)), best(*user_scores(df), 3))
