@@ -139,3 +139,15 @@ def test_users_alike_by_part_block_and_pairs(spark, monkeypatch, per, held):
     if held > 20:
         monkeypatch.setattr(co, "with_pairs", refuse)
     alike(rows_of(sc.recommend_by_users(o, 3)), best(*user_scores(df), 3))
+
+
+@pytest.mark.parametrize("least", [0, 2, 3])
+@pytest.mark.parametrize("both", [True, False])
+def test_top_similar_by_part_as_by_pairs(spark, monkeypatch, least, both):
+    _, o = observations(spark)
+    rows = lambda: sorted(tuple(r) for r in co.top_cooccurring(o, 4, min_count=least, both=both).collect())
+    with monkeypatch.context() as m:
+        m.setattr(sc, "HELD", 20)
+        want = rows()
+    monkeypatch.setattr(co, "with_pairs", refuse)
+    assert rows() == want and want
