@@ -151,3 +151,15 @@ def test_top_similar_by_part_as_by_pairs(spark, monkeypatch, least, both):
         want = rows()
     monkeypatch.setattr(co, "with_pairs", refuse)
     assert rows() == want and want
+
+
+def test_second_degree_sends_an_entry_to_its_two_blocks_only():
+    import pyarrow as pa
+
+    keys, counts = np.array([(0 << 32) | 1, (0 << 32) | 2, (2 << 32) | 5]), np.array([1, 4, 2])
+    batch = pa.RecordBatch.from_pydict({"bucket": pa.array([0], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in zip(("keys", "counts"), co.pack(keys, counts, False))}})
+    out = [r for b in sc._split_cells(2)([batch]) for r in b.to_pylist()]
+    got = {(r["j"], *map(int, p)) for r in out for p in zip(*co.decode(r["keys"], r["counts"]))}
+    assert got == {(0, keys[1], 4), (1, keys[0], 1), (1, keys[2], 2)}
+    high = [co.decode(r["keys"], r["counts"]) for b in sc._at_least(2)([batch]) for r in b.to_pylist()]
+    assert [x.tolist() for x in high[0]] == [keys[1:].tolist(), [4, 2]]
