@@ -163,3 +163,19 @@ def test_second_degree_sends_an_entry_to_its_two_blocks_only():
     assert got == {(0, keys[1], 4), (1, keys[0], 1), (1, keys[2], 2)}
     high = [co.decode(r["keys"], r["counts"]) for b in sc._at_least(2)([batch]) for r in b.to_pylist()]
     assert [x.tolist() for x in high[0]] == [keys[1:].tolist(), [4, 2]]
+
+
+@pytest.mark.parametrize("exclusions", [True, False])
+def test_ranks_of_factors_without_their_lists(spark, monkeypatch, exclusions):
+    from quern.operators import observations as ob
+    from quern.operators import recommenders as rc
+    from quern.operators import similarity as si
+
+    _, o = observations(spark)
+    rec = rc.RankingRecommender(epochs=1, rank=4).fit(o)
+    monkeypatch.setattr(si, "BLOCK", 7)
+    held = spark.createDataFrame([(f"{h}u{u}", f"{g}i{i:02d}") for h in "ab" for u in range(6) for g in "ab" for i in range(0, 18, 5)], "userid string, itemid string")
+    want = {(r.userid, r.itemid): r["rank"] for r in ob.zero_ranks(rec.recommend(n=36, exclusions=exclusions), "userid", "prediction", "itemid").collect()}
+    asked = {tuple(r) for r in held.collect()}
+    got = {(r.userid, r.itemid): r["rank"] for r in rec._ranked(rec.users, None, 36, exclusions, held, 2).collect()}
+    assert got == {p: k for p, k in want.items() if k < 2 or p in asked}
