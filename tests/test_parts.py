@@ -179,3 +179,11 @@ def test_ranks_of_factors_without_their_lists(spark, monkeypatch, exclusions):
     asked = {tuple(r) for r in held.collect()}
     got = {(r.userid, r.itemid): r["rank"] for r in rec._ranked(rec.users, None, 36, exclusions, held, 2).collect()}
     assert got == {p: k for p, k in want.items() if k < 2 or p in asked}
+
+
+@pytest.mark.parametrize("query", ["cascade"])
+def test_queries_over_recommendations_send_no_pairs(spark, sf, monkeypatch, query):
+    from quern.plans import core_queries
+
+    monkeypatch.setattr(co, "with_pairs", refuse)
+    assert core_queries.QUERIES[query](spark, sf).count() > 0
