@@ -181,7 +181,7 @@ def test_ranks_of_factors_without_their_lists(spark, monkeypatch, exclusions):
     assert got == {p: k for p, k in want.items() if k < 2 or p in asked}
 
 
-@pytest.mark.parametrize("query", ["cascade", "rank_zero_based"])
+@pytest.mark.parametrize("query", ["cascade", "rank_zero_based", "recommend_lists"])
 def test_queries_over_recommendations_send_no_pairs(spark, sf, monkeypatch, query):
     from quern.plans import core_queries
 
