@@ -187,3 +187,12 @@ def test_queries_over_recommendations_send_no_pairs(spark, sf, monkeypatch, quer
 
     monkeypatch.setattr(co, "with_pairs", refuse)
     assert core_queries.QUERIES[query](spark, sf).count() > 0
+
+
+def test_candidates_of_the_own_cluster_and_its_neighbours(spark):
+    from quern.operators import models as mo
+
+    members = spark.createDataFrame([("user", "u", 0), *[("item", f"i{c}", c) for c in range(4)]], "side string, id string, cluster int")
+    near = spark.createDataFrame([(a, b, 1.0 if abs(a - b) < 2 else 0.5 / abs(a - b)) for a in range(4) for b in range(4)], "cluster int, other int, cosine double")
+    for ratio, want in ((0.1, {"i0", "i1"}), (0.5, {"i0", "i1", "i2"}), (1.0, {"i0", "i1", "i2", "i3"})):
+        assert {r.itemid for r in mo.cluster_candidates(members, near, 4, ratio).collect()} == want
